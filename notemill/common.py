@@ -47,22 +47,31 @@ def stem_of(c: Column) -> Column:
     return F.when(dot > 0, F.substring(seg, F.lit(1), dot - 1)).otherwise(seg)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once per row, however often the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def run_lengths(arr: Column) -> Column:
     """`array<struct<item, n>>`: each distinct non-null element of an array and how often it occurs.
 
     Sorts inside the row and takes the lengths of runs, so counting within a record needs no shuffle
     and n log n time. Null arrays give an empty array.
     """
-    s = F.array_sort(F.filter(F.coalesce(arr, F.array().cast("array<string>")), lambda x: x.isNotNull()))
-    n = F.size(s)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))),
-    )
-    return F.transform(
-        starts,
-        lambda p, j: F.struct(F.get(s, p).alias("item"), (F.coalesce(F.get(starts, j + 1), n) - p).cast("int").alias("n")),
-    )
+    present = F.array_sort(F.filter(F.coalesce(arr, F.array().cast("array<string>")), lambda x: x.isNotNull()))
+
+    def counted(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+            lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))),
+        )
+        run = lambda st: F.transform(
+            st, lambda p, j: F.struct(F.get(s, p).alias("item"), (F.coalesce(F.get(st, j + 1), n) - p).cast("int").alias("n"))
+        )
+        return let(starts, run)
+
+    return let(present, counted)
 
 
 def cut(df: DataFrame) -> DataFrame:
