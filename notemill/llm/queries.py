@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
 from ..queries import sql_norm, sql_trim
-from . import distinct, frequency, neardup
+from . import distinct, frequency, neardup, packing, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,9 @@ QUERIES: dict[str, Query] = {
     "p5_scores": _on(_rounded_scores, "notes"),
     "p6_found": _on(neardup.near_duplicate_pairs, "notes"),
     "p6_groups": _on(neardup.near_duplicate_groups, "notes"),
+    "p7_ids": _on(tokens.token_ids, "documents"),
+    "p8_assignments": _on(packing.pack_documents, "documents", "containers"),
+    "p8_report": _on(packing.packing_report, "documents", "containers"),
 }
 ORACLE: dict[str, str] = {
     "p3_found": P3_SQL + " SELECT item_kind, item, mark FROM counts WHERE mark IS NOT NULL",
