@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
 from ..queries import sql_norm, sql_trim
-from . import distinct, frequency, neardup, packing, tokens
+from . import distinct, frequency, lookalike, neardup, packing, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "p7_ids": _on(tokens.token_ids, "documents"),
     "p8_assignments": _on(packing.pack_documents, "documents", "containers"),
     "p8_report": _on(packing.packing_report, "documents", "containers"),
+    "p9_found": _on(lookalike.look_alike_pairs, "documents"),
+    "p9_forms": _on(lookalike.canonical_forms, "documents"),
 }
 ORACLE: dict[str, str] = {
     "p3_found": P3_SQL + " SELECT item_kind, item, mark FROM counts WHERE mark IS NOT NULL",
