@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
 from ..queries import sql_norm, sql_trim
-from . import distinct, frequency, lookalike, neardup, packing, tokens
+from . import distinct, frequency, lookalike, markup, neardup, packing, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,8 @@ def _rounded_scores(notes: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": _on(markup.markup_found, "documents", "notes"),
+    "p2_clean": _on(markup.clean_documents, "documents"),
     "p3_found": _on(frequency.marked_items, "notes"),
     "p3_counts": _on(frequency.item_counts, "notes"),
     "p5_found": _on(distinct.characteristic_terms, "notes"),
