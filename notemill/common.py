@@ -86,6 +86,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than there are; large inputs stay as they are read.
+
+    For operators whose work per row outweighs moving the row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Most keys that a heavy list may hold: what is broadcast stays this small at any data size, and a key
 #: outside the list has less than 1/HEAVY_KEYS of all rows.
 HEAVY_KEYS = 1000
