@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import normalised, run_lengths, trimmed
+from ..common import normalised, run_lengths, spread, trimmed
 
 #: Most items on the broadcast list, whatever the size of the data.
 HEAVY_ITEMS = 4096
@@ -94,7 +94,7 @@ def item_counts(notes: DataFrame, most: int = HEAVY_ITEMS, detect_rows: int = DE
     `most` and `detect_rows`: these only choose which items are counted without a shuffle.
     """
     n_rows = notes.count()
-    items = record_items(notes)
+    items = record_items(spread(notes.select("terms", "attributes")))
     counted = items.mapInArrow(_counter(heavy_items(items, n_rows, most, detect_rows)), "item string, occurrences long, records long")
     total = counted.groupBy("item").agg(F.sum("occurrences").alias("n_occurrences"), F.sum("records").alias("n_notes"))
     mark = F.when(F.col("n_notes") < RARE_BELOW, "rare").when(F.col("n_notes") > F.lit(COMMON_SHARE) * n_rows, "common")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import WHITE, cut, salted_join
+from ..common import WHITE, cut, salted_join, spread
 
 # Letters and marks of other scripts that are drawn like a Latin letter or ASCII mark.
 LOOK_ALIKE = [
@@ -94,7 +94,7 @@ def text_hashes(documents: DataFrame) -> DataFrame:
     Texts that look the same have one fingerprint. The explode keeps the mapping from being computed again
     for the filter.
     """
-    rows = documents.select("doc_id", "text", F.explode(F.array(mapped(F.col("text")))).alias("look"))
+    rows = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.explode(F.array(mapped(F.col("text")))).alias("look"))
     return rows.where(F.col("look").rlike(r"(?U)\S")).select(
         "doc_id", _hash1("text").alias("t1"), _hash2("text").alias("t2"), F.xxhash64(F.regexp_replace("look", _VARIABLE, "")).alias("fp")
     )

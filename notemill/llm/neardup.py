@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, normalised
+from ..common import cut, normalised, spread
 from ..operators.components import components
 
 #: Share of the union that two term sets must share, in percent.
@@ -135,7 +135,7 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
 def similar_representatives(reps: DataFrame) -> DataFrame:
     """`(a, b)`: pairs of classes whose term sets share at least SIMILAR_PERCENT of their union."""
     hashed = reps.select("rep", F.transform("terms", lambda x: F.xxhash64(x)).alias("h"), F.size("terms").alias("size"))
-    sketched = cut(hashed.mapInArrow(_sketcher, "rep long, size int, bands array<long>, sketch array<long>"))
+    sketched = cut(spread(hashed).mapInArrow(_sketcher, "rep long, size int, bands array<long>, sketch array<long>"))
     pairs = candidate_pairs(sketched)
     bits = most_differing_bits(SKETCH_LEAST)
 

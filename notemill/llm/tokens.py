@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..common import spread
+
 #: Where the public vocabulary lies; a parameter of every operator here. The file is never copied.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: How this family of vocabularies cuts a text into words (fixed value, part of the format).
@@ -238,10 +240,10 @@ def token_ids(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     encoded, and nothing is shuffled.
     """
     shared = documents.sparkSession.sparkContext.broadcast(load_vocabulary(path))
-    return documents.select("doc_id", "text").mapInArrow(_encoded(shared, False), "doc_id long, x array<int>").withColumnRenamed("x", "ids")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encoded(shared, False), "doc_id long, x array<int>").withColumnRenamed("x", "ids")
 
 
 def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """`(doc_id, n_tokens)`, 0 for null and empty texts."""
     shared = documents.sparkSession.sparkContext.broadcast(load_vocabulary(path))
-    return documents.select("doc_id", "text").mapInArrow(_encoded(shared, True), "doc_id long, x long").withColumnRenamed("x", "n_tokens")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encoded(shared, True), "doc_id long, x long").withColumnRenamed("x", "n_tokens")
