@@ -91,6 +91,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     For operators whose work per row outweighs moving the row.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 

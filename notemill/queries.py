@@ -6,31 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WHITE, table
+from . import reference_queries as reference
+from .common import table
 from .operators import orphans, snapshots
+from .sqltext import sql_month, sql_norm, sql_stem, sql_trim
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: SQL pieces. `TRIM` strips all Unicode white space; months are in UTC whatever DuckDB's time zone.
-_W = "'" + WHITE + "'"
-
-
-def sql_trim(x: str) -> str:
-    return f"trim({x}, {_W})"
-
-
-def sql_norm(x: str) -> str:
-    return f"lower(trim({x}, {_W}))"
-
-
-def sql_stem(x: str) -> str:
-    return f"regexp_replace(regexp_extract({x}, '[^/]*$'), '\\.[^.]*$', '')"
-
-
-def sql_month(x: str) -> str:
-    return f"strftime(make_timestamp(epoch_us({x})), '%Y-%m')"
-
-
 P1_SQL = f"""
 WITH refs AS (
   SELECT 'notes' AS tbl, vault, strftime(make_timestamp(mtime_ms * 1000), '%Y-%m') AS ym, note_id AS row_id, unnest(out_links) AS raw
@@ -122,5 +104,5 @@ QUERIES: dict[str, Query] = {
     "p1_report": _on(orphans.orphan_report, "notes", "edits"),
     "p4_found": _on(snapshots.snapshot_changes, "files"),
     "p4_summary": _on(snapshots.snapshot_summary, "files"),
-}
-ORACLE: dict[str, str] = {"p1_found": P1_SQL, "p1_report": P1_REPORT_SQL, "p4_found": P4_SQL, "p4_summary": P4_SUMMARY_SQL}
+} | reference.QUERIES
+ORACLE: dict[str, str] = {"p1_found": P1_SQL, "p1_report": P1_REPORT_SQL, "p4_found": P4_SQL, "p4_summary": P4_SUMMARY_SQL} | reference.ORACLE
