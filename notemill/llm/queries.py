@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from ..queries import sql_norm, sql_trim
+from ..sqltext import sql_norm, sql_trim
 from . import distinct, frequency, lookalike, markup, neardup, packing, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
