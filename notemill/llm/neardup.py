@@ -110,13 +110,9 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
     No bucket is capped or dropped.
     """
     rows = sketched.select("rep", "size", F.explode("bands").alias("key"))
-    s = F.struct("size", "rep")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(s).alias("x"), F.max(s).alias("y")).where("n > 1")
-    buckets = cut(buckets)
+    buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"))
     fits = lambda small, large: small * 100 >= large * SIMILAR_PERCENT
-    twos = buckets.where((F.col("n") == 2) & fits(F.col("x.size"), F.col("y.size"))).select(
-        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")
-    )
+    twos = buckets.where("n = 2").select("a", "b")
     more = buckets.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     inside = rows.join(more, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # block i meets every block j >= i: the left copy stays in i for all j, the right copy goes to all i <= j
