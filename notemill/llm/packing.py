@@ -17,6 +17,8 @@ from .tokens import VOCABULARY, token_counts
 
 #: Items that one task packs together. Each group leaves at most its last containers part empty.
 ITEMS_PER_GROUP = 20_000
+#: Groups, of one kind of container each, that a task packs one after the other.
+GROUPS_PER_TASK = 2
 
 _OUT = "container string, capacity int, bin long, doc_id long, part int, start long, n_tokens int"
 
@@ -110,14 +112,14 @@ def pack_items(items: DataFrame, containers: DataFrame, items_per_group: int = I
     with null or non-positive capacity hold nothing. Few kinds are assumed: their number multiplies the items.
     """
     groups = max(1, -(-items.count() // items_per_group))
-    kinds = containers.where(F.col("capacity") > 0).select("container", "capacity").distinct()
-    kinds = kinds.agg(F.collect_list(F.struct("container", "capacity")).alias("kinds"))
+    listed = containers.where(F.col("capacity") > 0).select("container", "capacity").distinct().collect()  # kinds, not items
     spread = items.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)).cast("int").alias("grp"))
-    listed = kinds.first()["kinds"]
     if not listed:
         return items.sparkSession.createDataFrame([], _OUT)
     each = F.explode(F.array(*(F.struct(F.lit(k["container"]).alias("container"), F.lit(k["capacity"]).alias("capacity")) for k in listed)))
     rows = spread.withColumn("kind", each).select("doc_id", "n_tokens", "grp", "kind.container", "kind.capacity")
+    # little data, much work: a fixed number of partitions, which adaptive execution leaves apart
+    rows = rows.repartition(max(1, -(-groups * len(listed) // GROUPS_PER_TASK)), "container", "capacity", "grp")
     return rows.groupBy("container", "capacity", "grp").applyInArrow(_pack_group, _OUT)
 
 
