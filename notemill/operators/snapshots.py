@@ -114,11 +114,11 @@ def snapshot_changes(files: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -
         .groupBy("bucket")
         .applyInArrow(_compare, _DIFF)
     )
-    full = keyed.select("k1", "k2", "n", "vault", "snap", "path", "next_snap").dropDuplicates(["k1", "k2", "n"])
+    full = keyed.select("k1", "k2", "n", "vault", "snap", "path", "next_snap")
     kind = F.element_at(F.array(F.lit("added"), F.lit("removed"), F.lit("changed")), F.col("kind") + 1)
     return diffs.join(full, ["k1", "k2", "n"]).select(
         "vault", F.when(F.col("kind") == REMOVED, F.col("next_snap")).otherwise(F.col("snap")).alias("snap"), "path", kind.alias("change_kind")
-    )
+    ).distinct()  # of keys delivered more than once
 
 
 def snapshot_summary(files: DataFrame) -> DataFrame:
