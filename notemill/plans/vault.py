@@ -78,7 +78,7 @@ class Vault:
         """Build and publish a generation: counts, bytes, elapsed time and the skipped files."""
         began = time.time()
         notes, skipped = source.read_notes(self.spark, self.config)
-        files = notes.select("path", "mtime_ms", "size")
+        files = source.scan(self.spark, self.config)  # skipped files too
         tables = index_tables(notes, skipped, files, self.config)
         generation.publish(self.index_root, tables)
         made = generation.open_index(self.spark, self.index_root)
@@ -96,7 +96,12 @@ class Vault:
         return generation.open_index(self.spark, self.index_root)
 
     def staleness(self) -> dict[str, Any]:
-        return staleness.staleness(source.scan(self.spark, self.config), self.tables()["files"]).first().asDict()
+        """Stale where the listing differs from the one at the build; then skipped files count as added."""
+        t, now = self.tables(), source.scan(self.spark, self.config)
+        whole = staleness.staleness(now, t["files"]).first().asDict()
+        if not whole["stale"]:
+            return whole
+        return staleness.staleness(now, t["files"].join(t["skipped"], "path", "left_anti")).first().asDict()
 
     def status(self) -> dict[str, Any]:
         """What there is; never fails for want of an index."""
