@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import let
 from .stemmer import stem_column
 
 # The reference's English stop words.
@@ -16,6 +17,8 @@ STOPWORDS = (
 WORD = r"[\p{L}\p{N}]+"
 #: Where an identifier splits: lower to upper, letter to digit and back, and before the last capital of an acronym.
 PARTS = r"(?<=[^\p{Lu}\p{N}])(?=\p{Lu})|(?<=\p{N})(?=\P{N})|(?<=\P{N})(?=\p{N})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+#: Runs that surely have no inner boundary, as nearly all words.
+UNBROKEN = r"^\P{N}[^\p{Lu}\p{N}]*$"
 MIN_LENGTH = 2
 
 
@@ -24,8 +27,9 @@ def split_words(text: Column) -> Column:
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
     def expand(run: Column) -> Column:
-        parts = F.split(run, PARTS)
-        return F.when(F.size(parts) > 1, F.concat(F.array(F.lower(run)), F.transform(parts, F.lower))).otherwise(F.array(F.lower(run)))
+        whole = F.array(F.lower(run))
+        several = lambda parts: F.when(F.size(parts) > 1, F.concat(whole, F.transform(parts, F.lower))).otherwise(whole)
+        return F.when(run.rlike(UNBROKEN), whole).otherwise(let(F.split(run, PARTS), several))
 
     return F.flatten(F.transform(runs, expand))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import FORMAT_VERSION
-from ..common import normalised
+from ..common import cut, normalised, run_lengths, spread
 from ..functions.stemmer import stem_column
 from ..functions.text import tokens
 
@@ -21,15 +21,16 @@ def _or_empty(c: str | Column) -> Column:
 
 
 def field_terms(parsed: DataFrame, stem: bool = True, **options) -> DataFrame:
-    """`(doc_id, term, field)`, one row per occurrence, of notes `(doc_id, title, aliases, headings, tags, body)`.
+    """`(doc_id, term, field, n)`, n occurrences of a word each, of notes `(doc_id, title, aliases, headings, tags, body)`.
 
-    A tag with `/` is a term as it stands, and its parts are analysed too.
+    Words are counted inside the row before anything moves; the counts are materialised once, for the
+    distinct words that are stemmed and for the rows that get the stems. A tag with `/` is a term as it stands, and its parts are analysed too.
     """
     each = lambda texts: F.flatten(F.transform(_or_empty(texts), lambda t: tokens(t, **options)))
-    tagged = lambda a, f: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(f).alias("field"), F.lit(True).alias("stems")))
+    tagged = lambda a, f: F.transform(run_lengths(a), lambda t: F.struct(t["item"].alias("term"), F.lit(f).alias("field"), F.lit(True).alias("stems"), t["n"].alias("n")))
     tags = F.array_distinct(F.filter(F.transform(_or_empty("tags"), normalised), lambda t: t != ""))
     whole = F.transform(
-        F.filter(tags, lambda t: t.contains("/")), lambda t: F.struct(t.alias("term"), F.lit("tag").alias("field"), F.lit(False).alias("stems"))
+        F.filter(tags, lambda t: t.contains("/")), lambda t: F.struct(t.alias("term"), F.lit("tag").alias("field"), F.lit(False).alias("stems"), F.lit(1).alias("n"))
     )
     fields = F.concat(
         tagged(tokens(F.col("title"), **options), "title"),
@@ -39,17 +40,18 @@ def field_terms(parsed: DataFrame, stem: bool = True, **options) -> DataFrame:
         tagged(each(F.flatten(F.transform(tags, lambda t: F.split(t, "/")))), "tag"),
         tagged(tokens(F.col("body"), **options), "body"),
     )
-    rows = parsed.select("doc_id", F.explode(fields).alias("t")).select("doc_id", "t.term", "t.field", "t.stems")
+    source = spread(parsed.select("doc_id", "title", "aliases", "headings", "tags", "body"))
+    rows = source.select("doc_id", F.explode(fields).alias("t")).select("doc_id", "t.term", "t.field", "t.stems", "t.n")
     if stem:
-        rows = stem_column(rows.withColumn("word", F.when(F.col("stems"), F.col("term"))), "word")
+        rows = stem_column(cut(rows).withColumn("word", F.when(F.col("stems"), F.col("term"))), "word")
         rows = rows.withColumn("term", F.coalesce("word", "term"))
-    return rows.select("doc_id", "term", "field")
+    return rows.select("doc_id", "term", "field", "n")
 
 
 def indexed_terms(notes: DataFrame) -> DataFrame:
-    """`(doc_id, term, field)` of notes that carry their terms already; null terms are left out."""
+    """`(doc_id, term, field, n)` of notes that carry their terms already; null terms are left out."""
     rows = notes.select(F.col("note_id").alias("doc_id"), F.explode("terms").alias("t"))
-    return rows.where(F.col("t.term").isNotNull()).select("doc_id", normalised("t.term").alias("term"), F.col("t.field").alias("field"))
+    return rows.where(F.col("t.term").isNotNull()).select("doc_id", normalised("t.term").alias("term"), F.col("t.field").alias("field"), F.lit(1).alias("n"))
 
 
 def postings(terms: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -57,13 +59,13 @@ def postings(terms: DataFrame, weights: dict[str, float] | None = None) -> DataF
     weights = FIELD_WEIGHTS | (weights or {})
     pairs = [F.lit(x) for kv in weights.items() for x in kv]
     weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("field")), F.lit(1.0))
-    total = F.greatest(F.lit(1), F.round(F.sum(weight)).cast("int"))
+    total = F.greatest(F.lit(1), F.round(F.sum(weight * F.col("n"))).cast("int"))
     return terms.groupBy("term", "doc_id").agg(total.alias("wtf"))
 
 
 def doc_lengths(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """`(doc_id, length)`: unweighted occurrences in all fields, 0 for documents without terms."""
-    n = terms.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("length"))
+    n = terms.groupBy("doc_id").agg(F.sum("n").cast("int").alias("length"))
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"))
 
 

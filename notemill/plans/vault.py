@@ -34,7 +34,8 @@ def index_tables(notes: DataFrame, skipped: DataFrame, files: DataFrame, c: conf
     so no window gathers all documents in one task.
     """
     parsed = cut(parse_notes(notes, ["path", "mtime_ms", "size"], "path", "text").drop("wiki", "links"))
-    ranged = cut(parsed.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()))
+    n = max(2 * parsed.sparkSession.sparkContext.defaultParallelism, parsed.rdd.getNumPartitions())
+    ranged = cut(parsed.repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()))
     w = Window.partitionBy("part").orderBy("path")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))  # a row per partition
@@ -43,7 +44,7 @@ def index_tables(notes: DataFrame, skipped: DataFrame, files: DataFrame, c: conf
         keep = [k.strip().lower() for k in c.filterable_frontmatter]
         docs = docs.withColumn("attributes", F.map_filter("attributes", lambda k, _: k.isin(keep)))
     docs = cut(docs.drop("part", "n", "start"))
-    terms = index.field_terms(docs, stem)
+    terms = cut(index.field_terms(docs, stem))
     posted = cut(index.postings(terms, c.field_weights))
     lengths = index.doc_lengths(docs, terms)
     shown = F.coalesce(F.try_element_at("attributes", F.lit("tags")), F.array().cast("array<string>"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, spread, table
 from .functions.parser import parse_notes
 from .functions.snippets import snippet_column
 from .functions.stemmer import stem_column
@@ -119,18 +119,19 @@ def _parsed_documents(documents: DataFrame) -> DataFrame:
 
 
 def _tokens(documents: DataFrame) -> DataFrame:
-    rows = documents.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    rows = spread(documents.select("doc_id", "text")).select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
     return rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _stems(documents: DataFrame) -> DataFrame:
-    return stem_column(_tokens(documents), "token").groupBy("token").agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return stem_column(cut(_tokens(documents)), "token").groupBy("token").agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def _document_search(documents: DataFrame) -> DataFrame:
     """From raw texts to a ranked list with snippets: parse, analyse, index, search."""
-    parsed = parse_notes(documents, ["doc_id"], "filename", "text").withColumn("path", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")))
-    terms = index.field_terms(parsed)
+    parsed = cut(parse_notes(documents, ["doc_id"], "filename", "text").drop("wiki", "links"))
+    parsed = parsed.withColumn("path", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")))
+    terms = cut(index.field_terms(parsed))
     posted, lengths = index.postings(terms), index.doc_lengths(parsed, terms)
     s = lengths.agg(F.count(F.lit(1)), F.sum("length")).first()
     docs = parsed.select("doc_id", "path").join(lengths, "doc_id")
