@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import normalised, run_lengths, salted_join
+from ..common import normalised, run_lengths, salted_join, spread
 
 K1, B = 1.2, 0.75
 FOUND_TF, FOUND_DF = 4, 5
@@ -22,7 +22,7 @@ def term_frequencies(notes: DataFrame) -> DataFrame:
     """
     terms = F.transform(F.col("terms"), lambda t: normalised(t.getField("term")))
     counts = run_lengths(terms)
-    rows = notes.select("note_id", counts.alias("counts"))
+    rows = spread(notes.select("note_id", "terms")).select("note_id", counts.alias("counts"))
     dl = F.aggregate("counts", F.lit(0), lambda a, x: a + x["n"])
     return rows.select("note_id", dl.alias("dl"), F.explode("counts").alias("c")).select(
         "note_id", F.col("c.item").alias("term"), F.col("c.n").alias("tf"), "dl"

@@ -85,7 +85,7 @@ def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_sets(notes: DataFrame) -> DataFrame:
     """`(note_id, terms)`: sorted distinct normalised terms, all fields together; notes without any are left out."""
     terms = F.array_sort(F.array_distinct(F.filter(F.transform("terms", lambda t: normalised(t.getField("term"))), lambda x: x.isNotNull())))
-    return notes.select("note_id", terms.alias("terms")).where(F.size("terms") > 0)
+    return spread(notes.select("note_id", "terms")).select("note_id", terms.alias("terms")).where(F.size("terms") > 0)
 
 
 def classes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
