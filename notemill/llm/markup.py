@@ -427,7 +427,7 @@ def clean(text: str | None) -> Cleaned | None:
 
 
 # What no family's construct can do without, as a Java pattern: texts without any are not sent to Python for detection.
-SUSPECT = r"[<&*_`~\[\]{}\\$]|''|(?m:^ {0,3}[-=>#]|^ {4}|^={2})"
+SUSPECT = r"[<&*_`~\[\]{}\\$|]|''|(?m:^ {0,3}[-=>#]|^ {4}|^={2})"
 
 _CLEANED = "tbl string, row_id long, clean string, families array<string>, blocks array<struct<kind:string,level:int,text:string>>"
 _FAMILIES = "tbl string, row_id long, families array<string>"

@@ -67,6 +67,15 @@ def test_markup_found(spark):
     assert markup.clean_documents(d).count() == 4
 
 
+def test_markup_found_sends_every_case_to_the_cleaner(spark):
+    texts = [*CASES, "x\n\n| loom | archive |\n|---|---|\n| relay | 486 |", "a | b\n:--|--:\n1 | 2", "|a|\r\n\t|--|\r\n|1|"]
+    d = spark.createDataFrame(list(enumerate(texts)), DOC)
+    n = spark.createDataFrame([(i, [t], terms(t)) for i, t in enumerate(texts)], f"note_id long, headings array<string>, terms {TERM}")
+    want = {(tbl, i, m) for i, t in enumerate(texts) for m in markup.clean(t).families for tbl in ("documents", "notes")}
+    assert {i for _, i, m in want if m == "markdown"} >= set(range(len(CASES), len(texts)))
+    assert {tuple(r) for r in markup.markup_found(d, n).collect()} == want
+
+
 # -- p3, p5 ----------------------------------------------------------------------
 
 
