@@ -12,10 +12,12 @@ import html
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..common import spread
 
@@ -429,26 +431,30 @@ def clean(text: str | None) -> Cleaned | None:
 # What no family's construct can do without, as a Java pattern: texts without any are not sent to Python for detection.
 SUSPECT = r"[<&*_`~\[\]{}\\$|]|''|(?m:^ {0,3}[-=>#]|^ {4}|^={2})"
 
-_CLEANED = "tbl string, row_id long, clean string, families array<string>, blocks array<struct<kind:string,level:int,text:string>>"
+_CLEANED = "clean string, families array<string>, blocks array<struct<kind:string,level:int,text:string>>"
 _FAMILIES = "tbl string, row_id long, families array<string>"
 
+#: Short texts, such as terms, come again and again: so many results are kept for texts of at most so many characters.
+REMEMBERED, SHORT = 50_000, 64
+_remembered = lru_cache(REMEMBERED)(clean)
+
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every column but `text`, then what `clean` makes of it; equal texts of a part are cleaned once."""
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            made = [clean(t) for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array([m and m.text for m in made], pa.string()),
-                    pa.array([m and m.families for m in made], pa.list_(pa.string())),
-                    pa.array([m and [{"kind": k, "level": n, "text": x} for k, n, x in m.blocks] for m in made], kinds),
-                ],
-                names=["tbl", "row_id", "clean", "families", "blocks"],
-            )
+            texts = part.column("text").dictionary_encode()
+            made = [_remembered(t) if len(t) <= SHORT else clean(t) for t in texts.dictionary.to_pylist()]
+            results = [
+                pa.array([m.text for m in made], pa.string()),
+                pa.array([m.families for m in made], pa.list_(pa.string())),
+                pa.array([[{"kind": k, "level": n, "text": x} for k, n, x in m.blocks] for m in made], kinds),
+            ]
+            kept = [n for n in batch.schema.names if n != "text"]
+            columns = [*(part.column(n) for n in kept), *(r.take(texts.indices) for r in results)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "clean", "families", "blocks"])
 
 
 def _run_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,16 +474,36 @@ def note_records(notes: DataFrame) -> DataFrame:
     return rows.where(F.col("text").isNotNull())
 
 
+def field_records(notes: DataFrame) -> DataFrame:
+    """`(tbl, row_id, field, pos, text)`: every heading and term of every note, nulls and repeats too; field is heading or term, pos counts from 0."""
+    rows = spread(notes.select("note_id", "headings", F.col("terms.term").alias("terms")))
+    one = lambda field, c: rows.select(
+        F.lit("notes").alias("tbl"), F.col("note_id").alias("row_id"), F.lit(field).alias("field"), F.posexplode(c).alias("pos", "text")
+    )
+    return one("heading", "headings").unionByName(one("term", "terms"))
+
+
 def clean_records(records: DataFrame) -> DataFrame:
-    """`(tbl, row_id, clean, families, blocks)` of every record `(tbl, row_id, text)`; null texts give nulls."""
-    return spread(records).mapInArrow(_run, _CLEANED)
+    """Every column of `records` but `text`, and `(clean, families, blocks)` of the text; null texts give nulls."""
+    kept = StructType([f for f in records.schema if f.name != "text"])
+    return spread(records).mapInArrow(_run, StructType([*kept, *StructType.fromDDL(_CLEANED)]))
 
 
 def clean_documents(documents: DataFrame) -> DataFrame:
-    """`clean_records` of documents.text, one row per row of documents."""
+    """`(tbl, row_id, clean, families, blocks)`: `clean_records` of documents.text, one row per row of documents."""
     return clean_records(document_records(documents))
 
 
+def clean_texts(documents: DataFrame, notes: DataFrame) -> DataFrame:
+    """`(tbl, row_id, field, pos, clean, families, blocks)`: one row per row of documents and per heading and term of notes.
+
+    field is text, heading or term; pos is the place in the note's list, from 0, and 0 for documents. Null texts,
+    headings and terms give null results at their place; null and empty lists have no places.
+    """
+    docs = spread(document_records(documents)).select("tbl", "row_id", F.lit("text").alias("field"), F.lit(0).alias("pos"), "text")
+    return clean_records(docs.unionByName(field_records(notes)))
+
+
 def markup_found(documents: DataFrame, notes: DataFrame) -> DataFrame:
     """`(tbl, row_id, markup)`, distinct: records with a construct of a family outside code.
 

@@ -60,7 +60,7 @@ def _rounded_scores(notes: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p2_found": _on(markup.markup_found, "documents", "notes"),
-    "p2_clean": _on(markup.clean_documents, "documents"),
+    "p2_clean": _on(markup.clean_texts, "documents", "notes"),
     "p3_found": _on(frequency.marked_items, "notes"),
     "p3_counts": _on(frequency.item_counts, "notes"),
     "p5_found": _on(distinct.characteristic_terms, "notes"),

@@ -76,6 +76,29 @@ def test_markup_found_sends_every_case_to_the_cleaner(spark):
     assert {tuple(r) for r in markup.markup_found(d, n).collect()} == want
 
 
+def test_clean_texts_keeps_every_place(spark):
+    from notemill.llm.queries import QUERIES
+
+    heads = ["# A *b*", None, "plain", "# A *b*", ""]
+    words = ["`x`", "x", None, "`x`", "[[a|b]]", "long " * 30 + "<b>y</b>"]
+    n = spark.createDataFrame([(1, heads, terms(*words)), (2, None, None), (3, [], [None]), (4, ["$a_i$"], [])], f"note_id long, headings array<string>, terms {TERM}")
+    d = spark.createDataFrame([(1, "<b>x</b>"), (2, None), (1, "<b>x</b>")], DOC).withColumn("tbl", F.lit("clash"))
+    want = [("documents", i, "text", 0, t) for i, t in ((1, "<b>x</b>"), (2, None), (1, "<b>x</b>"))]
+    want += [("notes", 1, f, p, t) for f, ts in (("heading", heads), ("term", words)) for p, t in enumerate(ts)]
+    want += [("notes", 3, "term", 0, None), ("notes", 4, "heading", 0, "$a_i$")]
+
+    def row(tbl, i, f, p, t):
+        m = markup.clean(t)
+        return (tbl, i, f, p, m and m.text, m and m.families, m and m.blocks)
+
+    rows = markup.clean_texts(d, n).collect()
+    got = [(*r[:6], r[6] if r[6] is None else [tuple(b) for b in r[6]]) for r in rows]
+    assert sorted(map(repr, got)) == sorted(repr(row(*w)) for w in want)
+    assert markup.clean_texts(d.limit(0), n.limit(0)).count() == 0
+    found = QUERIES["p2_clean"](spark, "/root/testdata/sf0.001").groupBy("tbl", "field").count().collect()
+    assert {(r["tbl"], r["field"]) for r in found} == {("documents", "text"), ("notes", "heading"), ("notes", "term")}
+
+
 # -- p3, p5 ----------------------------------------------------------------------
 
 
