@@ -12,7 +12,7 @@ from .functions.parser import parse_notes
 from .functions.snippets import snippet_column
 from .functions.stemmer import stem_column
 from .functions.text import STOPWORDS, tokens
-from .operators import attrs, doctor, index, links, rewrite, search, staleness
+from .operators import attrs, doctor, index, links, rewrite, search, snapshots, staleness
 from .sources.vault import manifest_hash
 from .sqltext import sql_norm, sql_trim
 
@@ -81,6 +81,25 @@ def _staleness(files: DataFrame) -> DataFrame:
     return staleness.staleness(_latest(files, "2025-06"), _latest(files, "2025-05"), ["vault"], ["vault", "path"])
 
 
+def _held(files: DataFrame) -> DataFrame:
+    """`(vault, snap, path, mtime_ms, size)` of all snapshots: of several rows with one key the latest loaded; a null loaded_at is the earliest."""
+    loaded = F.coalesce(F.unix_micros("loaded_at"), F.lit(-(2**63)))
+    held = files.groupBy("vault", "snap", "path").agg(F.max_by(F.struct("mtime_ms", "size"), loaded).alias("v"))
+    return held.select("vault", "snap", "path", "v.mtime_ms", "v.size")
+
+
+def _staleness_snaps(files: DataFrame) -> DataFrame:
+    """Every snapshot of every vault against the one before it that the vault has, the first against none."""
+    held = _held(files)
+    later = snapshots.snapshot_order(files).where("next_snap IS NOT NULL").select("vault", "snap", "next_snap")
+    before = held.join(later, ["vault", "snap"]).select("vault", F.col("next_snap").alias("snap"), "path", "mtime_ms", "size")
+    return staleness.staleness(held, before, ["vault", "snap"], ["vault", "snap", "path"])
+
+
+def _manifest_hash_snaps(files: DataFrame) -> DataFrame:
+    return manifest_hash(_held(files).where("size IS NOT NULL"), ["vault", "snap"])
+
+
 def _rendered(notes: DataFrame) -> DataFrame:
     """Notes as files: front matter, a title line, each link on a line of its own, and one in code that must not count."""
     link = F.transform(
@@ -261,6 +280,25 @@ _MANIFEST = f"""
 SELECT vault, sha256(string_agg(path || ' ' || coalesce(size::VARCHAR, '') || ' ' || mtime_ms::VARCHAR || chr(10), '' ORDER BY path)) AS manifest_hash
 FROM {_SNAP.format("2025-06")} WHERE size IS NOT NULL GROUP BY vault"""
 
+_HELD = """held AS (
+  SELECT vault, snap, path, mtime_ms, size FROM files
+  QUALIFY row_number() OVER (PARTITION BY vault, snap, path ORDER BY loaded_at DESC NULLS LAST) = 1)"""
+_STALE_SNAPS = f"""
+WITH {_HELD},
+own AS (SELECT vault, snap, lag(snap) OVER (PARTITION BY vault ORDER BY snap) AS prior FROM (SELECT DISTINCT vault, snap FROM files)),
+b AS (SELECT own.vault, own.snap, path, mtime_ms, size FROM own JOIN held ON held.vault = own.vault AND held.snap = own.prior),
+d AS (
+  SELECT coalesce(a.vault, b.vault) AS vault, coalesce(a.snap, b.snap) AS snap,
+    CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed'
+         WHEN a.mtime_ms IS DISTINCT FROM b.mtime_ms OR a.size IS DISTINCT FROM b.size THEN 'changed' END AS state
+  FROM held a FULL JOIN b ON a.vault = b.vault AND a.snap = b.snap AND a.path = b.path)
+SELECT vault, snap, true AS stale, count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'changed') AS changed,
+  count(*) FILTER (state = 'removed') AS removed FROM d WHERE state IS NOT NULL GROUP BY vault, snap"""
+_MANIFEST_SNAPS = f"""
+WITH {_HELD}
+SELECT vault, snap, sha256(string_agg(path || ' ' || coalesce(size::VARCHAR, '') || ' ' || mtime_ms::VARCHAR || chr(10), '' ORDER BY path)) AS manifest_hash
+FROM held WHERE size IS NOT NULL GROUP BY vault, snap"""
+
 _PLAN = f"""
 WITH {_LINKS},
 best AS (SELECT vault, dst FROM back GROUP BY vault, dst ORDER BY count(*) DESC, vault, dst LIMIT 1),
@@ -299,6 +337,8 @@ QUERIES: dict[str, Query] = {
     "doctor_report": _on(lambda n: doctor.report(n, 100, "inbox/"), "notes"),
     "staleness": _on(_staleness, "files"),
     "manifest_hash": _on(lambda f: manifest_hash(_latest(f, "2025-06").where("size IS NOT NULL"), ["vault"]), "files"),
+    "staleness_snaps": _on(_staleness_snaps, "files"),
+    "manifest_hash_snaps": _on(_manifest_hash_snaps, "files"),
     "rename_plan": _on(lambda n: _plan(n, "archive/renamed note.md"), "notes"),
     "delete_plan": _on(lambda n: _plan(n, None), "notes"),
     "parsed_links": _on(_parsed_links, "notes"),
@@ -346,6 +386,8 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'orphans', vault, NULL, path FROM unlinked WHERE starts_with(path, 'inbox/')""",
     "staleness": _STALE,
     "manifest_hash": _MANIFEST,
+    "staleness_snaps": _STALE_SNAPS,
+    "manifest_hash_snaps": _MANIFEST_SNAPS,
     "rename_plan": _PLAN.format("CASE WHEN contains(target, '/') THEN '[[archive/renamed note]]' ELSE '[[renamed note]]' END", "before <> after"),
     "delete_plan": _PLAN.format("target", "src <> dst"),
     "parsed_links": """SELECT note_id, (row_number() OVER (PARTITION BY note_id ORDER BY i) - 1)::INT AS pos, out_links[i] AS target

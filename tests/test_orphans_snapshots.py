@@ -1,13 +1,15 @@
 """Orphan references and snapshot changes against brute force, with nulls, ties, repeated rows, empty tables, odd columns."""
 
 import datetime as dt
+import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from .conftest import NOTES
 from pyspark.sql import functions as F
 
+from notemill import reference_queries
 from notemill.common import salted_join
 from notemill.operators import orphans, snapshots
 
@@ -124,6 +126,24 @@ def test_snapshots_against_brute_force(spark):
     assert snapshots.snapshot_changes(df.limit(0)).count() == 0
 
 
+def test_staleness_and_manifests_of_every_own_snapshot(spark):
+    rnd = random.Random(8)
+    snaps = {"all": ["2025-04", "2025-05", "2025-06"], "no may": ["2025-03", "2025-04", "2025-06"], "no june": ["2025-04", "2025-05"]}
+    rows = [(v, s, f"p{i}", rnd.choice([1, 2]), rnd.choice([5, None]), at(2025, 7)) for v, ss in snaps.items() for s in ss for i in range(20) if rnd.random() < 0.7]
+    rows += [(*r[:3], 9, 9, at(2025, 8)) for r in rows[::7]]
+    df = spark.createDataFrame(rows, FILES)
+    want = Counter((v, s, k) for v, s, _, k in brute(rows))
+    got = {(r["vault"], r["snap"]): r for r in reference_queries._staleness_snaps(df).collect()}
+    assert got.keys() == {(v, s) for v, ss in snaps.items() for s in ss}
+    assert all(r["stale"] and r[k] == want[v, s, k] for (v, s), r in got.items() for k in ("added", "changed", "removed"))
+    assert got["no may", "2025-06"]["added"] < len({r[2] for r in rows if r[:2] == ("no may", "2025-06")})
+    held = {r[:3]: r for r in rows}
+    for r in reference_queries._manifest_hash_snaps(df).collect():
+        lines = [f"{p} {z} {m}\n" for (v, s, p), (*_, m, z, _) in sorted(held.items()) if (v, s) == (r["vault"], r["snap"]) and z is not None]
+        assert r["manifest_hash"] == hashlib.sha256("".join(lines).encode()).hexdigest()
+    assert {"staleness_snaps", "manifest_hash_snaps"} <= reference_queries.QUERIES.keys()
+
+
 def test_key_ids_survive_a_collision_of_the_first_half():
     ids = snapshots._key_ids(np.array([7, 7, 7, 1]), np.array([1, 2, 1, 0]))
     assert ids[0] == ids[2] != ids[1] and len(set(ids)) == 3
