@@ -7,7 +7,9 @@ each class a deterministic canonical member is chosen and joined back.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,13 +41,9 @@ EMOJI = r"\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x
 JOINER = "\ue000"
 
 
-def single_characters() -> tuple[str, str]:
-    """Two strings for SQL's `translate`: each character of the first becomes the one at its place in the
-    second, or nothing where the second has ended.
-
-    Invisible characters end the first string. Beside LOOK_ALIKE: blanks of any kind, and by rule the full-width and half-width forms, the compatibility
-    ideographs, the radicals and the Kelvin, Angstrom and Ohm signs, which become their compatibility forms.
-    """
+def _mapped_pairs() -> dict[str, str]:
+    """LOOK_ALIKE and, by rule, blanks of any kind, the full-width and half-width forms, the compatibility ideographs, the
+    radicals and the Kelvin, Angstrom and Ohm signs, which become their compatibility forms."""
     pairs = {a: b for old, new in LOOK_ALIKE for a, b in zip(old, new, strict=True)}
     pairs |= {c: " " for c in WHITE if unicodedata.category(c) == "Zs"}
     for low, high in ((0x2126, 0x2126), (0x212A, 0x212B), (0x2F00, 0x2FD5), (0xF900, 0xFAFF), (0xFF01, 0xFFEE)):
@@ -53,10 +51,54 @@ def single_characters() -> tuple[str, str]:
             form = unicodedata.normalize("NFKC", c)
             if len(form) == 1 and form != c and c not in "\uffa0\uffe3":
                 pairs[c] = form
+    return pairs
+
+
+@cache
+def composed_characters() -> dict[str, str]:
+    """Every character whose canonical decomposition begins with a mapped one, and the composed form of the mapped one with its marks.
+
+    So mapping a composed and a decomposed text gives canonically equivalent texts.
+    """
+    pairs, found = _mapped_pairs(), {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if unicodedata.decomposition(c)[:1] not in ("", "<"):
+            parts = unicodedata.normalize("NFD", c)
+            if parts[0] in pairs and c not in pairs:
+                found[c] = unicodedata.normalize("NFC", pairs[parts[0]] + parts[1:])
+    return found
+
+
+def single_characters() -> tuple[str, str]:
+    """Two strings for SQL's `translate`: each character of the first becomes the one at its place in the
+    second, or nothing where the second has ended.
+
+    Invisible characters end the first string. Of `composed_characters` each has the first character of its
+    form here; the marks of those that have no composed form are put behind it by `mapped`.
+    """
+    pairs = _mapped_pairs() | {c: form[0] for c, form in composed_characters().items()}
     gone = "".join(chr(c) for low, high in INVISIBLE for c in range(low, high + 1) if chr(c) not in pairs)
     return "".join(pairs) + gone, "".join(pairs.values())
 
 
+def _with_marks(text: Column, x: Column) -> Column:
+    """`x`, made of `text`, with the marks that `single_characters` leaves out behind their characters.
+
+    Two filters spare most texts: ranges that hold all the characters, cheap to try at every place, then the characters.
+    """
+    marks: dict[str, str] = {}
+    for c, form in composed_characters().items():
+        if form[1:]:
+            marks[form[1:]] = marks.get(form[1:], "") + c
+    every = sorted("".join(marks.values()))
+    ends = [i for i in range(1, len(every)) if ord(every[i]) - ord(every[i - 1]) > 0x30]
+    ranges = "".join(f"{every[i]}-{every[j - 1]}" for i, j in zip([0, *ends], [*ends, len(every)]))
+    marked = x
+    for mark, chars in marks.items():
+        marked = F.regexp_replace(marked, f"[{chars}]", f"$0{mark}")
+    return F.when(text.rlike(f"[{ranges}]") & text.rlike(f"[{''.join(every)}]"), marked).otherwise(x)
+
+
 def mapped(text: Column) -> Column:
     """`text` with look-alikes, blanks, hyphens and ligatures in one form and invisible characters removed.
 
@@ -64,7 +106,7 @@ def mapped(text: Column) -> Column:
     """
     old, new = single_characters()
     joined = F.regexp_replace(text, f"(?<=[{EMOJI}][\\x{{FE0F}}\\x{{20E3}}]?)\\x{{200D}}(?=[{EMOJI}])", JOINER)
-    x = F.translate(F.when(F.contains(text, F.lit("\u200d")), joined).otherwise(text), old, new)
+    x = F.translate(_with_marks(text, F.when(F.contains(text, F.lit("\u200d")), joined).otherwise(text)), old, new)
     for c in map(chr, range(0xFB00, 0xFB07)):  # Latin ligatures
         x = F.replace(x, F.lit(c), F.lit(unicodedata.normalize("NFKC", c)))
     plain = (F.octet_length(text) == F.length(text)) & ~text.rlike(r"[\x00-\x08\x0E-\x1F\x7F]")

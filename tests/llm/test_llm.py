@@ -294,3 +294,18 @@ def test_single_characters_are_stable():
     assert len(set(old)) == len(old) and pairs["\uff21"] == "A" and pairs["\u212a"] == "K" and pairs["\u2007"] == " "
     assert all(unicodedata.normalize("NFC", v) not in pairs or pairs[v] == v for v in pairs.values())
     assert "\u200d" in old[len(new) :] and "a" not in pairs
+
+
+def test_composed_and_decomposed_texts_look_alike(spark):
+    nfc, nfd = (lambda x, form=form: unicodedata.normalize(form, x) for form in ("NFC", "NFD"))
+    chars = [c for c in map(chr, range(0x30000)) if unicodedata.decomposition(c)[:1] not in ("", "<")]
+    rows = [(i, x) for i, c in enumerate(chars) for x in (f"x{c}y", nfd(f"x{c}y"))]
+    got = spark.createDataFrame(rows, DOC).select("doc_id", lookalike.mapped(F.col("text")).alias("look")).collect()
+    forms = {}
+    for r in got:
+        forms.setdefault(r["doc_id"], set()).add(nfc(r["look"]))
+    assert [hex(ord(chars[i])) for i, f in forms.items() if len(f) > 1] == []
+    words = ["\u03a0\u03cc\u03bb\u03b7", "\u040e\u0441\u0451 \u045e", "\u0386\u0388\u038a\u038c", "\u040c\u0450", "a \u2224 b", "\u1f44\u1f88"]
+    texts = [t for w in words for t in (w, nfd(w))]
+    df = spark.createDataFrame(list(enumerate(texts)), DOC)
+    assert {tuple(r) for r in lookalike.look_alike_pairs(df).collect()} == {(i, i + 1) for i in range(0, len(texts), 2)}
