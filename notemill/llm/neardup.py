@@ -89,16 +89,18 @@ def term_sets(notes: DataFrame) -> DataFrame:
 
 
 def classes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members `(note_id, rep)` and representatives `(rep, terms)`: notes with equal term sets are one class.
+    """Members `(note_id, rep, class_id)` and representatives `(rep, class_id, terms)`: notes with equal term sets are one class.
 
-    A third of all notes may be one class: only (digest, id) pairs are aggregated, with partial minima.
+    class_id is the least note of the class. rep is the class's own number: an id repeated with other terms may be the
+    least of several classes. A third of all notes may be one class: only (digest, id) pairs are aggregated, with partial minima.
     """
     sets = term_sets(notes).withColumn("digest", F.unhex(F.sha2(F.to_json("terms"), 256)))
-    least = sets.groupBy("digest").agg(F.min("note_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
-    reps = cut(least)
-    copies = reps.where("n > 1").select("digest", "rep")
-    members = sets.select("note_id", "digest").join(copies, "digest", "left").select("note_id", F.coalesce("rep", "note_id").alias("rep"))
-    return members.distinct(), reps.select("rep", "terms")
+    least = sets.groupBy("digest").agg(F.min("note_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
+    reps = cut(least.withColumn("rep", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    copies = reps.where("n > 1").select("digest", "rep", "class_id")
+    copied = sets.select("note_id", "digest").join(copies, "digest").select("note_id", "rep", "class_id")
+    single = reps.where("n = 1").select(F.col("class_id").alias("note_id"), "rep", "class_id")
+    return copied.distinct().union(single), reps.select("rep", "class_id", "terms")
 
 
 def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -163,7 +165,7 @@ def near_duplicate_pairs(notes: DataFrame) -> DataFrame:
     linked = similar_representatives(reps)
     a, b = (members.select(F.col("rep").alias(end), F.col("note_id").alias(f"m_{end}")) for end in ("a", "b"))
     across = linked.join(a, "a").join(b, "b").select("m_a", "m_b")
-    copied = members.where(F.col("note_id") != F.col("rep")).select("rep").distinct()
+    copied = members.where(F.col("note_id") != F.col("class_id")).select("rep").distinct()
     same = members.join(copied, "rep", "left_semi")
     within = same.select("rep", F.col("note_id").alias("m_a")).join(same.select("rep", F.col("note_id").alias("m_b")), "rep").where("m_a < m_b").select("m_a", "m_b")
     return (
@@ -182,10 +184,12 @@ def near_duplicate_groups(notes: DataFrame) -> DataFrame:
     """
     members, reps = classes(notes)
     linked = cut(similar_representatives(reps))
-    groups = components(linked, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("group_id"))
+    groups = components(linked, "a", "b").select(F.col("id").alias("rep"), "component")
+    groups = cut(groups.join(reps.select("rep", "class_id"), "rep"))
+    groups = groups.select("rep", "component").join(groups.groupBy("component").agg(F.min("class_id").alias("group_id")), "component").drop("component")
     ends = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     per_class = groups.join(degree, "rep")
     return members.join(per_class, "rep", "left").select(
-        "note_id", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "note_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )

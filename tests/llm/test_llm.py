@@ -172,6 +172,22 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_an_id_repeated_with_other_terms_keeps_its_classes_apart(spark):
+    one, two = [f"a{i}" for i in range(10)], [f"b{i}" for i in range(10)]
+    near = [*one[:9], "c"]
+    rows = [(5, one), (5, two), (7, two), (8, one), (9, near), (5, near), (3, ["x", "y"]), (3, ["x", "y", "z", "w"]), (4, ["x", "y", "z"])]
+    df = spark.createDataFrame([(i, terms(*t)) for i, t in rows], f"note_id long, terms {TERM}")
+    want = set()
+    for (i, a), (j, b) in itertools.permutations(rows, 2):
+        a, b = set(a), set(b)
+        if i < j and len(a & b) * 100 >= 70 * len(a | b):
+            want.add((i, j))
+    assert (7, 8) not in want and {(5, 7), (5, 8), (5, 9), (8, 9), (3, 4)} == want
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == want
+    groups = sorted(tuple(r) for r in neardup.near_duplicate_groups(df).collect())
+    assert [g for g in groups if g[0] in (7, 8, 9)] == [(7, 5, 5, 0), (8, 5, 5, 1), (9, 5, 5, 1)]
+
+
 def test_blocks_lose_no_pair(spark):
     s = spark.createDataFrame([(i, 10, [5]) for i in range(60)], "rep long, size int, bands array<long>")
     for block in (7, 1000):
