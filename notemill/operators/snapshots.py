@@ -1,8 +1,8 @@
 """What changed between full snapshots.
 
 Method: rows are reduced to compact arrays of key hashes, row hashes and ordinals, spread over hash
-buckets; each bucket is sorted in numpy and compared by searchsorted; full values are retrieved by a join
-only for the keys that differ.
+buckets; each bucket is sorted in numpy and compared by searchsorted; full values are retrieved only for the
+keys that differ, which filter the rows before these move.
 """
 
 from __future__ import annotations
@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..common import cut
+
 ADDED, REMOVED, CHANGED = 0, 1, 2
 #: Rows of one bucket, about 60 bytes each while it is compared.
 ROWS_PER_BUCKET = 500_000
 
+#: Differing keys that are broadcast to fetch their values, 24 bytes each; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
 _DIFF = "k1 long, k2 long, n int, kind int"
 
 
@@ -35,7 +40,7 @@ def _key_ids(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
 def diff_bucket(k1: np.ndarray, k2: np.ndarray, row: np.ndarray, loaded: np.ndarray, n: np.ndarray, last: np.ndarray):
     """`(k1, k2, n, kind)` arrays of one bucket; n is the ordinal of the snapshot whose row holds the values.
 
-    `n` counts a vault's snapshots from 0 and `last` is its highest. Of several rows with one key and
+    `n` counts a vault's snapshots from 0, of which the first is compared with none, and `last` is its highest. Of several rows with one key and
     snapshot the latest loaded holds (on a tie the greater row hash).
     """
     if not len(n):
@@ -58,7 +63,7 @@ def diff_bucket(k1: np.ndarray, k2: np.ndarray, row: np.ndarray, loaded: np.ndar
     _, has = place(code + 1)
     changed = had & (h[before] != h)
     gone = ~has & (n < last)
-    parts = [(np.flatnonzero(~had), ADDED), (np.flatnonzero(changed), CHANGED), (np.flatnonzero(gone), REMOVED)]
+    parts = [(np.flatnonzero(~had & (n > 0)), ADDED), (np.flatnonzero(changed), CHANGED), (np.flatnonzero(gone), REMOVED)]
     at = np.concatenate([p for p, _ in parts])
     kind = np.concatenate([np.full(len(p), k, np.int32) for p, k in parts])
     return k1[order[at]], k2[order[at]], n[at], kind
@@ -88,12 +93,12 @@ def snapshot_order(files: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_changes(files: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def snapshot_changes(files: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """`(vault, snap, path, change_kind)`: added, removed and changed paths between consecutive snapshots.
 
-    snap is the later snapshot; everything in a vault's first one is added. Paths compare exactly. Two
+    snap is the later snapshot; a vault's first one is compared with none and gives no row. Paths compare exactly. Two
     nulls are equal, a null and a value differ, in path and vault too. Rows without a snap belong to no
-    snapshot and are left out. A null loaded_at is the earliest. Buckets are of a hash of the key, so a
+    snapshot and are left out. A null loaded_at is the earliest. `rows_per_bucket` and `broadcast_keys` change no row. Buckets are of a hash of the key, so a
     vault that holds a third of all rows spreads over all of them.
     """
     order = snapshot_order(files)
@@ -114,11 +119,15 @@ def snapshot_changes(files: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -
         .groupBy("bucket")
         .applyInArrow(_compare, _DIFF)
     )
+    diffs = cut(diffs)
+    if diffs.count() <= broadcast_keys:
+        diffs = F.broadcast(diffs)
     full = keyed.select("k1", "k2", "n", "vault", "snap", "path", "next_snap")
     kind = F.element_at(F.array(F.lit("added"), F.lit("removed"), F.lit("changed")), F.col("kind") + 1)
-    return diffs.join(full, ["k1", "k2", "n"]).select(
+    found = full.join(diffs, ["k1", "k2", "n"]).select(
         "vault", F.when(F.col("kind") == REMOVED, F.col("next_snap")).otherwise(F.col("snap")).alias("snap"), "path", kind.alias("change_kind")
-    ).distinct()  # of keys delivered more than once
+    )
+    return found.distinct()  # of keys delivered more than once
 
 
 def snapshot_summary(files: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ WITH held AS (
   QUALIFY row_number() OVER (PARTITION BY vault, snap, path ORDER BY loaded_at DESC NULLS LAST) = 1),
 snaps AS (
   SELECT vault, snap, lag(snap) OVER (PARTITION BY vault ORDER BY snap) AS before FROM (SELECT DISTINCT vault, snap FROM files)),
-cur AS (SELECT h.*, s.before FROM held h JOIN snaps s USING (vault, snap)),
+cur AS (SELECT h.* FROM held h JOIN snaps s USING (vault, snap) WHERE s.before IS NOT NULL),
 old AS (SELECT s.snap AS now, h.* FROM held h JOIN snaps s ON s.vault = h.vault AND s.before = h.snap)
 SELECT coalesce(c.vault, o.vault) AS vault, coalesce(c.snap, o.now) AS snap, coalesce(c.path, o.path) AS path,
        CASE WHEN o.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'removed' ELSE 'changed' END AS change_kind

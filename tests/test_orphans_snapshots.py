@@ -85,7 +85,8 @@ def test_salted_join_keeps_every_row(spark):
     assert left.count() == 3000 and left.where("n is null").count() == 3000 - want
 
 
-def brute(rows):
+def brute(rows, first=False):
+    """Changes between consecutive snapshots; `first` compares a vault's first one with nothing held."""
     held = {}
     for v, s, p, m, z, t in rows:
         if s is not None and ((v, s, p) not in held or (t or at(1970, 1)) > held[v, s, p][1]):
@@ -95,8 +96,9 @@ def brute(rows):
         by[v][s][p] = x
     out = set()
     for v, snaps in by.items():
-        before = {}
-        for s in sorted(snaps):
+        order = sorted(snaps)
+        before = {} if first else snaps[order[0]]
+        for s in order if first else order[1:]:
             now = snaps[s]
             out |= {(v, s, p, "added") for p in now.keys() - before.keys()} | {(v, s, p, "removed") for p in before.keys() - now.keys()}
             out |= {(v, s, p, "changed") for p in now.keys() & before.keys() if now[p] != before[p]}
@@ -120,9 +122,13 @@ def test_snapshots_against_brute_force(spark):
                         rows.append((v, s, p, 9, 9, at(2025, 6, rnd.randint(1, 9))))
     rows.append(("a", None, "p1", 1, 1, at(2025, 5)))
     df = spark.createDataFrame(rows, FILES).withColumn("n", F.lit("clash")).withColumn("k1", F.lit(1))
-    for per in (500_000, 20):
-        got = [tuple(r) for r in snapshots.snapshot_changes(df, per).collect()]
-        assert len(got) == len(set(got)) and set(got) == brute(rows)
+    want = brute(rows)
+    assert not any(s == "2025-01" for _, s, _, _ in want) and ("b", "2025-04") in {(v, s) for v, s, _, _ in want}
+    for per, keys in ((500_000, 1_000_000), (20, 0)):
+        got = [tuple(r) for r in snapshots.snapshot_changes(df, per, keys).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    first = df.where("snap = '2025-01'")
+    assert snapshots.snapshot_changes(first).count() == 0 and snapshots.snapshot_summary(first).count() == 0
     assert snapshots.snapshot_changes(df.limit(0)).count() == 0
 
 
@@ -132,7 +138,7 @@ def test_staleness_and_manifests_of_every_own_snapshot(spark):
     rows = [(v, s, f"p{i}", rnd.choice([1, 2]), rnd.choice([5, None]), at(2025, 7)) for v, ss in snaps.items() for s in ss for i in range(20) if rnd.random() < 0.7]
     rows += [(*r[:3], 9, 9, at(2025, 8)) for r in rows[::7]]
     df = spark.createDataFrame(rows, FILES)
-    want = Counter((v, s, k) for v, s, _, k in brute(rows))
+    want = Counter((v, s, k) for v, s, _, k in brute(rows, first=True))
     got = {(r["vault"], r["snap"]): r for r in reference_queries._staleness_snaps(df).collect()}
     assert got.keys() == {(v, s) for v, ss in snaps.items() for s in ss}
     assert all(r["stale"] and r[k] == want[v, s, k] for (v, s), r in got.items() for k in ("added", "changed", "removed"))
