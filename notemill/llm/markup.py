@@ -1,9 +1,10 @@
 """Markup residue in text: HTML, Markdown, wiki and LaTeX to clean text that keeps its structure.
 
-Method: tree scoring. A text becomes a tree of containers and blocks; paragraphs pass points for length and
-commas to their ancestors, which are discounted by their link density; the best container and those of its
-siblings and of its ancestors' siblings that are not mostly links are kept. On the way every construct
-that is taken out says which family it belongs to; code is set aside first, so nothing in it counts.
+Method: tree scoring. A text of any family becomes a tree of containers (HTML elements, runs of list items) and
+blocks; paragraphs pass points for length and commas to their ancestors, which are discounted by their link
+density. The best container is kept, with those of its siblings, and of its ancestors' siblings, that score enough or
+hold structure, and without parts of it that are mostly links. On the way every construct that is taken out says
+which family it belongs to; code is set aside first, so nothing in it counts.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ INLINE = frozenset(
     "source span strike strong style sub sup svg template textarea time track tt u var video wbr dialog menu optgroup hgroup search slot".split()
 )
 ELEMENTS = CONTAINERS | BLOCKS | INLINE
+#: Containers that hold structure, which a low score alone does not drop; those of items and rows.
+STRUCTURE = frozenset("ul ol dl table thead tbody tfoot blockquote figure details list".split())
+LISTS = frozenset("ul ol dl".split())
 
 #: Set-aside pieces are numbered between these private-use characters until the end.
 _OPEN, _CLOSE = "\ue010", "\ue011"
@@ -41,9 +45,9 @@ _HELD = re.compile(f"{_OPEN}(\\d+){_CLOSE}")
 
 _ATTR = r"""(?:\s+[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*"""
 _TAG = re.compile(rf"<(/?)([A-Za-z][A-Za-z0-9]*)({_ATTR})\s*(/?)>")
-_COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>", re.S | re.I)
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_DOCTYPE = re.compile(r"<!DOCTYPE[^<>]*>", re.I)
 _RAW = re.compile(rf"<(script|style){_ATTR}\s*>.*?</\1\s*>", re.S | re.I)
-_PRE = re.compile(rf"<(pre|code|samp|tt|nowiki|syntaxhighlight|source){_ATTR}\s*>(.*?)</\1\s*>", re.S | re.I)
 _CHARREF = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 _FRONT = re.compile(r"\A---[ \t]*\n(.*?\n)?(?:---|\.\.\.)[ \t]*(?:\n|\Z)", re.S)
@@ -56,8 +60,8 @@ _MATH_ENV = r"(?:equation|align|gather|multline|eqnarray|displaymath|math|aligna
 _MATH = [
     re.compile(rf"\\begin\{{({_MATH_ENV})\}}(?P<body>.*?)\\end\{{\1\}}", re.S),
     re.compile(r"\$\$(?P<body>(?:[^$\n]|\n(?!\s*\n))+?)\$\$"),
-    re.compile(r"(?<!\\)\\\[(?P<body>(?:[^\n]|\n(?!\s*\n))+?)\\\]"),
-    re.compile(r"(?<!\\)\\\((?P<body>[^\n]+?)\\\)"),
+    re.compile(r"(?<!\\)\\\[(?P<body>(?:[^\n\\]|\\(?!\[)|\n(?!\s*\n))+?)\\\]"),
+    re.compile(r"(?<!\\)\\\((?P<body>(?:[^\n\\]|\\(?!\())+?)\\\)"),
     re.compile(r"(?<![\\$\w])\$(?![\s$])(?P<body>[^$\n]*?[^\s$\\])\$(?![\w$])"),
 ]
 _ENV = re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
@@ -77,18 +81,29 @@ _FOOT_REF = re.compile(r"(?<!\w)?\[\^[^\[\]\s]+\](?!:)")
 _LINK = re.compile(r"(!?)\[((?:[^\[\]\n]|\[[^\[\]\n]*\])*)\]\(\s*(<[^<>\n]*>|[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+(?:\"[^\"\n]*\"|'[^'\n]*'))?\s*\)")
 _REF_LINK = re.compile(r"!?\[([^\[\]\n]+)\][ ]?\[([^\[\]\n]*)\]")
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
-_ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*?)(?:[ \t]+#+)?[ \t]*$", re.M)
+_ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*)$", re.M)
 _SETEXT = re.compile(r"^(?! {0,3}(?:[-*+>#]|\d+[.)] ))( {0,3}\S[^\n]*)\n {0,3}(=+|-{2,})[ \t]*$", re.M)
 _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", re.M)
 _QUOTE = re.compile(r"^ {0,3}((?:>[ \t]?)+)(?=\S)", re.M)
-_TABLE_RULE = re.compile(r"^([^\n]*\|[^\n]*)\n[ \t]*(?=[^\n]*\|)\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$", re.M)
+_TABLE_RULE = re.compile(r"^(?=[^\n]*\|)([^\n]*)\n[ \t]*(?=[^\n]*\|)\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$", re.M)
+_TABLE_ROW = re.compile(r"[ \t]*\|(.*)\|[ \t]*")
 _EMPHASIS = [
     re.compile(r"(?<![\w*\\])(\*{1,3})(?![\s*])([^*\n]*[^\s*\\])\1(?![\w*])"),
-    re.compile(r"(?<![\w\\])(_{1,3})(?![\s_])([^\n]*?[^\s_\\])\1(?!\w)"),
+    re.compile(r"(?<![\w\\])(_{1,3})(?![\s_])((?:[^_\n]|(?<=\w)_+(?=\w))*?[^\s_\\])\1(?!\w)"),
 ]
 _STRIKE = re.compile(r"(?<!~)(~~)(?![\s~])([^~\n]*[^\s~])~~(?!~)")
 
 
+#: Code elements, outer ones first, whose contents are set aside.
+_PRE = {n: re.compile(rf"<({n}){_ATTR}\s*>(.*?)</\1\s*>", re.S | re.I) for n in ("pre", "syntaxhighlight", "source", "nowiki", "code", "samp", "tt")}
+
+
+def heading(text: str) -> str:
+    """A heading's text without its closing marks."""
+    bare = text.rstrip(" \t").rstrip("#")
+    return bare.rstrip(" \t") if not bare or bare[-1] in " \t" else text.rstrip(" \t")
+
+
 @dataclass
 class Node:
     """A container of the tree, or a block: heading, item, code, formula, row or paragraph."""
@@ -106,13 +121,9 @@ class Node:
         self.children.append(child)
         return child
 
-    def sizes(self) -> tuple[int, int]:
-        """Characters, and those of them inside links."""
-        n, linked = len(self.text), self.link_chars
-        for c in self.children:
-            a, b = c.sizes()
-            n, linked = n + a, linked + b
-        return n, linked
+    #: Characters of the node and all below it, and those of them inside links.
+    size: int = 0
+    linked: int = 0
 
 
 @dataclass
@@ -134,8 +145,12 @@ class _Cleaner:
         self.held.append((kind, text))
         return f"{_OPEN}{len(self.held) - 1}{_CLOSE}"
 
-    def sub(self, pattern: re.Pattern, family: str | None, to: Callable[[re.Match], str | None]) -> None:
-        """Replace what matches; a replacement of None leaves the match alone and counts for no family."""
+    def sub(self, pattern: re.Pattern, family: str | None, to: Callable[[re.Match], str | None], *ends: str) -> None:
+        """Replace what matches; a replacement of None leaves the match alone and counts for no family.
+
+        No match ends behind the last of `ends`, where these are given: openings there are not searched from, which
+        keeps texts with very many unclosed openings from quadratic time.
+        """
 
         def one(m: re.Match) -> str:
             new = to(m)
@@ -145,7 +160,16 @@ class _Cleaner:
                 self.families.add(family)
             return new
 
-        self.text = pattern.sub(one, self.text)
+        if not ends:
+            self.text = pattern.sub(one, self.text)
+            return
+        lower = self.text.lower() if any("<" in e for e in ends) else self.text
+        if len(lower) == len(self.text) and (at := max(map(lower.rfind, ends))) >= 0:
+            stop = next((i for i in (self.text.find(c, at + 2) for c in ">}") if i >= 0), len(self.text) - 1)
+            stop = max(stop, at + max(map(len, ends))) + 1
+            self.text = pattern.sub(one, self.text[:stop]) + self.text[stop:]
+        elif len(lower) != len(self.text):
+            self.text = pattern.sub(one, self.text)
 
     def block(self, kind: str, text: str) -> str:
         return f"\n\n{self.hold(kind, text)}\n\n"
@@ -155,11 +179,12 @@ class _Cleaner:
         if "```" in self.text or "~~~" in self.text:
             self.sub(_FENCE, MARKDOWN, lambda m: self.block("code", m[3].rstrip("\n")))
         if "\\begin{" in self.text:
-            self.sub(_VERBATIM, LATEX, lambda m: self.block("code", m[2].strip("\n")))
+            self.sub(_VERBATIM, LATEX, lambda m: self.block("code", m[2].strip("\n")), "\\end{")
         if "\n    " in self.text or self.text.startswith("    "):
             self.indented()
         if "<" in self.text:
-            self.sub(_PRE, HTML, self.html_code)
+            for name, pattern in _PRE.items():
+                self.sub(pattern, HTML, self.html_code, f"</{name}")
         if "`" in self.text:
             self.sub(_SPAN, MARKDOWN, lambda m: self.hold("span", m[2].strip()))
 
@@ -194,8 +219,9 @@ class _Cleaner:
 
     def formulas(self) -> None:
         if "$" in self.text or "\\" in self.text:
-            for p in _MATH:
-                self.sub(p, LATEX, lambda m: self.hold("formula", re.sub(r"\\label\{[^{}]*\}", "", m["body"]).strip()) if m["body"].strip() else None)
+            for i, p in enumerate(_MATH):
+                formula = lambda m: self.hold("formula", re.sub(r"\\label\{[^{}]*\}", "", m["body"]).strip()) if m["body"].strip() else None
+                self.sub(p, LATEX, formula, *(["\\end{"] if i == 0 else []))
 
     def latex(self) -> None:
         if "\\" not in self.text:
@@ -219,7 +245,7 @@ class _Cleaner:
 
     def wiki(self) -> None:
         if "{|" in self.text:
-            self.sub(_WIKI_TABLE, WIKI, lambda m: "\n\n" + re.sub(r"^[ \t]*(?:\|-[^\n]*|\|\+|[|!])[ \t]*", "", m[1], flags=re.M).replace("||", " ; ").replace("!!", " ; ") + "\n\n")
+            self.sub(_WIKI_TABLE, WIKI, lambda m: "\n\n" + re.sub(r"^[ \t]*(?:\|-[^\n]*|\|\+|[|!])[ \t]*", "", m[1], flags=re.M).replace("||", " ; ").replace("!!", " ; ") + "\n\n", "|}")
         while "{{" in self.text:
             before = self.text
             self.sub(_TEMPLATE, WIKI, lambda m: "")
@@ -248,7 +274,7 @@ class _Cleaner:
         if "|" in self.text:
             self.sub(_TABLE_RULE, MARKDOWN, lambda m: m[1])
         if "#" in self.text:
-            self.sub(_ATX, MARKDOWN, lambda m: f"\n\n{self.hold(f'h{len(m[1])}', m[2])}\n\n")
+            self.sub(_ATX, MARKDOWN, lambda m: f"\n\n{self.hold(f'h{len(m[1])}', heading(m[2]))}\n\n")
         if "\n=" in self.text or "\n-" in self.text or "\n " in self.text:
             self.sub(_SETEXT, MARKDOWN, lambda m: f"\n\n{self.hold('h1' if m[2][0] == '=' else 'h2', m[1].strip())}\n\n" if len(m[2]) > 2 and "|" not in m[1] else None)
         self.sub(_RULE, MARKDOWN, lambda m: "")
@@ -289,15 +315,21 @@ class _Cleaner:
                 else:
                     lines = part.split("\n")
                 prose: list[str] = []
+                run: Node | None = None  # list of the items that follow each other
                 for line in [*lines, None]:
                     item = line is not None and re.match(r"[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)", line)
-                    if (line is None or item) and prose:
+                    row = line is not None and not item and _TABLE_ROW.fullmatch(line)
+                    if (line is None or item or row) and prose:
                         x = " ".join(" ".join(prose).split())
                         at.add(Node(kind, level, self.restore(x), min(len(x), anchors[1] + self.linked(x))))
                         prose = []
                     if item:
                         x = line[item.end() :]
-                        at.add(Node("item", len(item[0]) - len(item[0].lstrip()), self.restore(x), self.linked(x)))
+                        run = run or (at if at.kind in LISTS else at.children[-1] if at.children and at.children[-1].kind == "list" else at.add(Node("list")))
+                        run.add(Node("item", len(item[0]) - len(item[0].lstrip()), self.restore(x), self.linked(x)))
+                    elif row:
+                        x = " ; ".join(c.strip() for c in row[1].split("|"))
+                        at.add(Node("row", 0, self.restore(x), self.linked(x)))
                     elif line is not None and line.strip():
                         prose.append(line)
             kind, level, anchors[1] = "p", 0, 0
@@ -341,40 +373,66 @@ class _Cleaner:
         return root
 
 
+#: Share of the best score that a sibling container needs, and share of links from which a part is mostly links.
+SIBLING_SHARE, MOSTLY_LINKS = 0.2, 0.5
+
+
 def _score(root: Node) -> Node:
-    """Give every container its points and return the best one."""
-    best, todo, containers = root, [root], [root]
-    while todo:
-        node = todo.pop()
-        for c in node.children:
-            if c.children or c.kind in CONTAINERS:
-                todo.append(c)
-                containers.append(c)
-            elif c.kind in ("p", "item", "row") and len(c.text) >= 25:
-                points = 1 + c.text.count(",") + min(len(c.text) / 100, 3)
-                up, share = node, 1.0
-                while up is not None and share >= 0.25:
-                    up.score += points * share
-                    up, share = up.parent, share / 2
-    for c in containers:
-        n, linked = c.sizes()
-        c.score *= 1 - linked / n if n else 0
-        if c.score > best.score:
-            best = c
+    """Give every container its points and return the best one; of equal ones the outermost."""
+    order = [root]
+    for node in order:  # grows: parents before children
+        order.extend(node.children)
+    for node in reversed(order):
+        node.size += len(node.text)
+        node.linked += node.link_chars
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.linked += node.linked
+        if node.kind in ("p", "item", "row") and len(node.text) >= 25:
+            points, up, share = 1 + node.text.count(",") + min(len(node.text) / 100, 3), node.parent, 1.0
+            while up is not None and share >= 0.25:
+                up.score += points * share
+                up, share = up.parent, share / 2
+    best = root
+    for node in order:
+        node.score *= 1 - node.linked / node.size if node.size else 0
+        if node.score > best.score:
+            best = node
     return best
 
 
 def _kept(root: Node) -> list[Node]:
-    """Blocks of the best container, and of siblings along the way to the root that are not mostly links."""
+    """Blocks of the best container and of what is kept beside it, in the text's order.
+
+    Beside the best container and its ancestors stay headings, code and formulas, paragraphs less than a quarter of
+    which is links, containers with a fifth of the best score, and lists and tables that are not mostly links. Inside it
+    containers go that are mostly links and score less than that fifth. A text whose best container has no points is kept whole.
+    """
     best = _score(root)
     dropped: set[int] = set()
-    node = best
-    while node.parent is not None:
-        for s in node.parent.children:
-            n, linked = s.sizes()
-            if s is not node and n and linked / n > 0.5 and s.kind in CONTAINERS and s.score < 0.2 * best.score:
-                dropped.add(id(s))
-        node = node.parent
+    least = SIBLING_SHARE * best.score
+
+    def density(n: Node) -> float:
+        return n.linked / n.size if n.size else 0.0
+
+    def beside(n: Node) -> bool:
+        if n.kind in ("p", "item", "row"):
+            return density(n) < 0.25
+        if n.kind in ("heading", "code", "formula") or n.score >= least:
+            return True
+        return n.kind in STRUCTURE and density(n) <= MOSTLY_LINKS
+
+    if best.score > 0:
+        node = best
+        while node.parent is not None:
+            dropped.update(id(s) for s in node.parent.children if s is not node and not beside(s))
+            node = node.parent
+        inside = list(best.children)
+        for n in inside:
+            if n.children and density(n) > MOSTLY_LINKS and n.score < least:
+                dropped.add(id(n))
+            else:
+                inside.extend(n.children)
     out: list[Node] = []
     todo = [root]
     while todo:
@@ -397,8 +455,9 @@ def clean(text: str | None) -> Cleaned | None:
     c = _Cleaner(text)
     c.code()
     if "<" in c.text:
-        c.sub(_COMMENT, HTML, lambda m: "")
-        c.sub(_RAW, HTML, lambda m: "")
+        c.sub(_DOCTYPE, HTML, lambda m: "")
+        c.sub(_COMMENT, HTML, lambda m: "", "-->")
+        c.sub(_RAW, HTML, lambda m: "", "</script", "</style")
     c.formulas()
     tags: list[str] = []
     if "<" in c.text:  # set tags aside, so that their attributes are no text to the other families

@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -58,6 +59,40 @@ def test_clean_keeps_structure_and_drops_link_lists():
     markup.clean("[" * 3000 + "{" * 3000 + "*" * 3000 + "<" * 3000 + "`" * 3001)
 
 
+def test_the_best_container_wins():
+    body = "<p>" + "A long paragraph, with commas, that says something at length. " * 4 + "</p>"
+    page = (
+        "<div id='top'><p>Menu of the site, short.</p></div><div id='main'><h2>T</h2>" + body * 3 + "<ul><li><a href='/a'>one</a><li><a href='/b'>two</a></ul>"
+        "<table><tr><td>1</td><td>2</td></tr></table><pre>code</pre></div><ul><li>kept item</li></ul><pre>kept code</pre><p>kept text</p>"
+        "<p><a href='/'>Home</a> | <a href='/n'>Next</a></p><footer><p>Made by us, with care, in a small town.</p></footer>"
+    )
+    text = markup.clean(page).text
+    assert all(x in text for x in ("# T", "1 ; 2", "code", "kept item", "kept code", "kept text"))
+    assert not any(x in text for x in ("Menu", "one", "two", "Home", "Made by"))
+    flat = markup.clean("# Note\n\n" + "Some words, and more of them, in a line. " * 4 + "\n\n- [[A]]\n- [[B|b]]\n\n- an item of words\n\n| a | b |\n|---|---|\n| 1 | 2 |\n")
+    assert [(k, t) for k, _, t in flat.blocks if k != "p"] == [("heading", "Note"), ("item", "A"), ("item", "b"), ("item", "an item of words"), ("row", "a ; b"), ("row", "1 ; 2")]
+    nav = markup.clean("# Note\n\n" + "Some words, and more of them, in a line. " * 4 + "\n\n- [[A]]\n- [[B|b]]\n")
+    assert [k for k, _, _ in nav.blocks] == ["heading", "p"]
+    assert [t for _, _, t in markup.clean("- [[A]]\n- [[B|b]]").blocks] == ["A", "b"]  # nothing but links: kept whole
+
+
+LONG = [
+    "|a|", "a _b", "\\[ a ", "\\( a ", "<!-- ", "<pre>", "<script>", "{|\n", "\\begin{equation}", "[[a ", "`a ``b ", "**a ", "[a](b) ", "<a href=", "deadbeef", "<p>", "* a\n", "> ",
+]
+
+
+@pytest.mark.parametrize("part", LONG)
+def test_very_long_texts_take_linear_time(part):
+    def seconds(n):
+        began = time.process_time()
+        markup.clean(part * n)
+        return time.process_time() - began
+
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.05)  # quadratic time is a hundredfold
+    markup.clean("# a" + " " * 40_000 + "b ##")
+    assert markup.clean("# a b ##").text == "# a b" and markup.clean("# a#").text == "# a#"
+
+
 def test_markup_found(spark):
     d = spark.createDataFrame([(1, "<b>x</b> [[y]]"), (2, None), (3, ""), (1, "<b>x</b> [[y]]")], DOC).withColumn("tbl", F.lit("clash"))
     n = spark.createDataFrame([(1, ["`x`", None], terms("$a_i$", None, "plain")), (2, None, None), (3, [], [])], f"note_id long, headings array<string>, terms {TERM}")
