@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import NotemillError
+
 #: Every code point with Unicode's White_Space property (fixed values). Spark's trim strips only U+0020.
 WHITE = "".join(
     map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -74,18 +77,42 @@ def run_lengths(arr: Column) -> Column:
     return let(present, counted)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder of `spark.checkpoint.dir` and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which all executors share; set here where the context has none yet.
 
-    The folder is shared by all executors, so the loss of one loses nothing. Only where the session
-    names no folder (tests) is a temporary one set.
+    Where the session names none, a temporary one will do on a local master and is refused on any other.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notemill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise NotemillError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="notemill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder and forget its lineage, so the loss of an executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: like `cut`, for what is read again by some of its columns."""
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Rows that `few` lets be broadcast. Callers pass rows of fixed width, so this bounds the bytes.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, materialised before, with a broadcast hint if it has at most `rows` rows; else any join will shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where its files give fewer partitions than there are; large inputs stay as they are read.
 
@@ -97,9 +124,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
-#: Most keys that a heavy list may hold: what is broadcast stays this small at any data size, and a key
-#: outside the list has less than 1/HEAVY_KEYS of all rows.
-HEAVY_KEYS = 1000
+#: Most keys that a heavy list may hold, 16 bytes each: what is broadcast stays below a megabyte at any data size,
+#: and a key outside the list has less than 1/HEAVY_KEYS of all rows.
+HEAVY_KEYS = 50_000
 
 
 def salted_join(
@@ -111,25 +138,25 @@ def salted_join(
     heavy_rows: int = 200_000,
     heavy_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
-    """Join `big` with `keyed` (one row per key; column `weight` says how many rows of `big` have it), skew-proof.
-
-    The `heavy_keys` heaviest keys above `heavy_rows` rows are broadcast as (key, salts), a list whose
-    size does not grow with the data. Rows of `big` with such a key get one of the salts, the key's row
-    in `keyed` is repeated for each salt, and both sides meet in one shuffle join on (keys, salt), in
-    which no key holds more than about `heavy_rows` rows. The salt is a hash of the whole row, so a task that
-    runs again after a loss gives the same rows. Keys compare null-safe; `how` is inner or left.
+    """Join `big` with `keyed` (column `weight` says how many rows of `big` have the key), skew-proof.
+
+    The `heavy_keys` heaviest keys above `heavy_rows` rows are broadcast as (hash of the key, salts), a list whose
+    size does not grow with the data. Rows of `big` with such a key get one of the salts, the key's rows
+    in `keyed` are repeated for each salt, and both sides meet in one shuffle join on (keys, salt), in
+    which no key holds more than about `heavy_rows` rows of `big`. Keys whose hashes collide share their salts, on both
+    sides. The salt is a hash of the whole row, so a task that runs again after a loss gives the same rows. Keys
+    compare null-safe; `how` is inner or left.
     """
     heavy = (
         keyed.where(F.col(weight) > heavy_rows)
-        .orderBy(F.desc(weight), *keys)
+        .groupBy(F.xxhash64(*keys).alias("__h"))
+        .agg(F.max(F.ceil(F.col(weight) / heavy_rows)).cast("int").alias("__salts"))
+        .orderBy(F.desc("__salts"), "__h")
         .limit(heavy_keys)
-        .select(*keys, F.ceil(F.col(weight) / heavy_rows).cast("int").alias("__salts"))
     )
 
     def with_salts(df: DataFrame) -> DataFrame:
-        h = heavy.select(*(F.col(k).alias(f"__h_{k}") for k in keys), "__salts")
-        on = [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]
-        return df.join(F.broadcast(h), on, "left").drop(*(f"__h_{k}" for k in keys))
+        return df.withColumn("__h", F.xxhash64(*keys)).join(F.broadcast(heavy), "__h", "left").drop("__h")
 
     left = with_salts(big).withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("__salts")).cast("int"), F.lit(0)))
     right = with_salts(keyed).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
@@ -140,5 +167,27 @@ def salted_join(
     return out.select(*big.columns, *rest)
 
 
+def block_pairs(links: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Pairs of members of linked groups, skew-proof: `links` `(a, b, n_a, n_b)`, a <= b, with the sizes of both groups.
+
+    `members` has `grp` and any other columns, which come out as `a_...` and `b_...`. A group of n members is cut into
+    n / `block` blocks by a hash; every pair of blocks of a link is a join group of its own, so a group that holds a
+    third of all rows is spread over many tasks. Of a link of a group with itself each unordered pair of rows comes
+    out at least once, a row with itself too; nothing is capped or dropped.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    start = F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0)
+    cells = links.select("a", "b", F.explode(F.sequence(F.lit(0), blocks("n_a") - 1)).alias("i"), blocks("n_b").alias("nb"), "n_a", "n_b")
+    cells = cells.select("a", "b", "n_a", "n_b", "i", F.explode(F.sequence(start, F.col("nb") - 1)).alias("j"))
+    sizes = links.select(F.col("a").alias("grp"), F.col("n_a").alias("n")).union(links.select("b", "n_b")).distinct()
+    placed = salted_join(members, sizes, ["grp"], "n")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64(*members.columns), blocks("n")).cast("int"))
+
+    def end(e: str, at: str) -> DataFrame:
+        return placed.select(F.col("grp").alias(e), F.col("own").alias(at), *(F.col(c).alias(f"{e}_{c}") for c in members.columns if c != "grp"))
+
+    return cells.join(end("a", "i"), ["a", "i"]).join(end("b", "j"), ["b", "j"]).drop("i", "j", "n_a", "n_b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

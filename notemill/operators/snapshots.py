@@ -13,15 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..common import cut
+from ..common import BROADCAST_ROWS, cut, few
 
 ADDED, REMOVED, CHANGED = 0, 1, 2
 #: Rows of one bucket, about 60 bytes each while it is compared.
 ROWS_PER_BUCKET = 500_000
 
-#: Differing keys that are broadcast to fetch their values, 24 bytes each; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
-
 _DIFF = "k1 long, k2 long, n int, kind int"
 
 
@@ -93,7 +90,7 @@ def snapshot_order(files: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_changes(files: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def snapshot_changes(files: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, broadcast_keys: int = BROADCAST_ROWS) -> DataFrame:
     """`(vault, snap, path, change_kind)`: added, removed and changed paths between consecutive snapshots.
 
     snap is the later snapshot; a vault's first one is compared with none and gives no row. Paths compare exactly. Two
@@ -119,9 +116,7 @@ def snapshot_changes(files: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, b
         .groupBy("bucket")
         .applyInArrow(_compare, _DIFF)
     )
-    diffs = cut(diffs)
-    if diffs.count() <= broadcast_keys:
-        diffs = F.broadcast(diffs)
+    diffs = few(cut(diffs), broadcast_keys)
     full = keyed.select("k1", "k2", "n", "vault", "snap", "path", "next_snap")
     kind = F.element_at(F.array(F.lit("added"), F.lit("removed"), F.lit("changed")), F.col("kind") + 1)
     found = full.join(diffs, ["k1", "k2", "n"]).select(

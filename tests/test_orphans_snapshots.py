@@ -10,7 +10,7 @@ from .conftest import NOTES
 from pyspark.sql import functions as F
 
 from notemill import reference_queries
-from notemill.common import salted_join
+from notemill.common import block_pairs, salted_join
 from notemill.operators import orphans, snapshots
 
 UTC = dt.timezone.utc
@@ -85,6 +85,24 @@ def test_salted_join_keeps_every_row(spark):
     assert left.count() == 3000 and left.where("n is null").count() == 3000 - want
 
 
+def test_more_heavy_keys_than_the_list_holds(spark):
+    big = spark.range(4000).select("id", F.concat(F.lit("k"), (F.col("id") % 7).cast("string")).alias("k"))
+    keyed = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    twice = keyed.union(keyed)  # more than one row a key
+    for most in (0, 2, 100):
+        assert salted_join(big, twice, ["k"], "n", heavy_rows=50, heavy_keys=most).count() == 8000
+
+
+def test_block_pairs_lose_no_pair(spark):
+    members = spark.createDataFrame([(g, i) for g, n in ((1, 60), (2, 9), (3, 1)) for i in range(g * 100, g * 100 + n)], "grp long, id long")
+    links = spark.createDataFrame([(1, 1, 60, 60), (1, 2, 60, 9), (3, 3, 1, 1)], "a long, b long, n_a long, n_b long")
+    want = {(i, j) for i in range(100, 160) for j in range(100, 160) if i < j} | {(i, j) for i in range(100, 160) for j in range(200, 209)}
+    for block in (7, 1000):
+        got = [(r["a_id"], r["b_id"]) for r in block_pairs(links, members, block).collect() if r["a_id"] != r["b_id"]]
+        assert {(min(p), max(p)) for p in got} == want
+    assert block_pairs(links.limit(0), members, 7).count() == 0
+
+
 def brute(rows, first=False):
     """Changes between consecutive snapshots; `first` compares a vault's first one with nothing held."""
     held = {}
