@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, normalised, spread
+from ..common import block_pairs, cut, few, normalised, spread, stored
 from ..operators.components import components
 
 #: Share of the union that two term sets must share, in percent.
@@ -78,29 +78,41 @@ def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1))
             )
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), as_lists(keys), as_lists(sketch)], names=["rep", "size", "bands", "sketch"]
+                [part.column(0), lists, part.column(2), as_lists(keys), as_lists(sketch)], names=["rep", "terms", "size", "bands", "sketch"]
             )
 
 
 def term_sets(notes: DataFrame) -> DataFrame:
-    """`(note_id, terms)`: sorted distinct normalised terms, all fields together; notes without any are left out."""
-    terms = F.array_sort(F.array_distinct(F.filter(F.transform("terms", lambda t: normalised(t.getField("term"))), lambda x: x.isNotNull())))
-    return spread(notes.select("note_id", "terms")).select("note_id", terms.alias("terms")).where(F.size("terms") > 0)
+    """`(note_id, terms, d1, d2)`: notes with terms; those without any are left out.
+
+    terms has the sorted 64-bit hashes of the distinct normalised terms, all fields together, d1 and d2 are a 128-bit hash of
+    them. Repeated terms go before they are normalised. Two terms with one hash would count as one.
+    """
+    raw = F.array_distinct(F.filter(F.col("terms.term"), lambda x: x.isNotNull()))
+    hashes = F.sort_array(F.array_distinct(F.transform(raw, lambda x: F.xxhash64(normalised(x)))))
+    rows = spread(notes.select("note_id", "terms")).select("note_id", F.explode(F.array(hashes)).alias("terms"))
+    rows = rows.where(F.size("terms") > 0)
+    return rows.select("note_id", "terms", F.xxhash64("terms").alias("d1"), F.xxhash64(F.lit(17), "terms", F.size("terms")).alias("d2"))
 
 
 def classes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members `(note_id, rep, class_id)` and representatives `(rep, class_id, terms)`: notes with equal term sets are one class.
+    """Members `(note_id, rep, class_id, n)` and representatives `(rep, class_id, n, terms)`: notes with equal term sets are one class.
 
-    class_id is the least note of the class. rep is the class's own number: an id repeated with other terms may be the
-    least of several classes. A third of all notes may be one class: only (digest, id) pairs are aggregated, with partial minima.
+    class_id is the least note of the class, n counts its members. rep is the class's own number: an id repeated with other terms may be the
+    least of several classes. Term sets are made once and stored; a third of all notes may be one class, so only ids and digests are aggregated,
+    with partial minima, and the terms of one member of each class fetched afterwards.
     """
-    sets = term_sets(notes).withColumn("digest", F.unhex(F.sha2(F.to_json("terms"), 256)))
-    least = sets.groupBy("digest").agg(F.min("note_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
+    sets = stored(term_sets(notes))
+    ids = sets.select("note_id", "d1", "d2").distinct()
+    least = ids.groupBy("d1", "d2").agg(F.min("note_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     reps = cut(least.withColumn("rep", F.monotonically_increasing_id()))  # written once, so the numbers stay
-    copies = reps.where("n > 1").select("digest", "rep", "class_id")
-    copied = sets.select("note_id", "digest").join(copies, "digest").select("note_id", "rep", "class_id")
-    single = reps.where("n = 1").select(F.col("class_id").alias("note_id"), "rep", "class_id")
-    return copied.distinct().union(single), reps.select("rep", "class_id", "terms")
+    copies = few(reps.where("n > 1"))
+    copied = ids.join(copies, ["d1", "d2"]).select("note_id", "rep", "class_id", "n")
+    single = reps.where("n = 1").select(F.col("class_id").alias("note_id"), "rep", "class_id", "n")
+    own = few(reps).select("rep", "class_id", "n", F.col("d1").alias("r1"), F.col("d2").alias("r2"))
+    mine = (F.col("note_id") == F.col("class_id")) & (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2"))
+    held = sets.join(own, mine).select("rep", "class_id", "n", "terms").dropDuplicates(["rep"])  # of rows delivered twice
+    return copied.union(single), held
 
 
 def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -115,7 +127,7 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
     buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"))
     fits = lambda small, large: small * 100 >= large * SIMILAR_PERCENT
     twos = buckets.where("n = 2").select("a", "b")
-    more = buckets.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    more = few(buckets.where("n > 2")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     inside = rows.join(more, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # block i meets every block j >= i: the left copy stays in i for all j, the right copy goes to all i <= j
     left = inside.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), "rep", "size")
@@ -132,48 +144,44 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def similar_representatives(reps: DataFrame) -> DataFrame:
     """`(a, b)`: pairs of classes whose term sets share at least SIMILAR_PERCENT of their union."""
-    hashed = reps.select("rep", F.transform("terms", lambda x: F.xxhash64(x)).alias("h"), F.size("terms").alias("size"))
-    sketched = cut(spread(hashed).mapInArrow(_sketcher, "rep long, size int, bands array<long>, sketch array<long>"))
-    pairs = candidate_pairs(sketched)
+    hashed = reps.select("rep", "terms", F.size("terms").alias("size"))
+    sketched = stored(spread(hashed).mapInArrow(_sketcher, "rep long, terms array<long>, size int, bands array<long>, sketch array<long>"))
+    pairs = candidate_pairs(sketched.select("rep", "size", "bands"))
     bits = most_differing_bits(SKETCH_LEAST)
 
-    def both(p: DataFrame, df: DataFrame, col: str) -> DataFrame:
+    def both(p: DataFrame, col: str) -> DataFrame:
         for end in ("a", "b"):
-            p = p.join(df.select(F.col("rep").alias(end), F.col(col).alias(f"{col}_{end}")), end)
+            p = p.join(sketched.select(F.col("rep").alias(end), F.col(col).alias(f"{col}_{end}")), end)
         return p
 
     differing = F.aggregate(
         F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x
     )
-    verified = both(pairs, sketched, "sketch").where(differing <= bits).select("a", "b")
-    exact = both(verified, reps, "terms")
+    verified = both(pairs, "sketch").where(differing <= bits).select("a", "b")
+    exact = both(verified, "terms")
     shared = F.size(F.array_intersect("terms_a", "terms_b"))
     union = F.size("terms_a") + F.size("terms_b") - shared
     return exact.where(shared * 100 >= union * SIMILAR_PERCENT).select("a", "b").distinct()
 
 
-def near_duplicate_pairs(notes: DataFrame) -> DataFrame:
+def near_duplicate_pairs(notes: DataFrame, block: int = BLOCK) -> DataFrame:
     """`(note_a, note_b)`, note_a < note_b, distinct: notes whose term sets share at least 70 percent of their union.
 
     Every pair of members of two similar classes, and of one class, is a case by definition; the pairs of
-    members are made by equi-joins on the class. `near_duplicate_groups` has the form that stays linear.
+    members are made in blocks. `near_duplicate_groups` has the form that stays linear.
     Notes without terms are in no pair; a repeated row pairs with nothing of its own id, and an id repeated
     with other terms counts with each of its sets.
     """
     members, reps = classes(notes)
     members = cut(members)
     linked = similar_representatives(reps)
-    a, b = (members.select(F.col("rep").alias(end), F.col("note_id").alias(f"m_{end}")) for end in ("a", "b"))
-    across = linked.join(a, "a").join(b, "b").select("m_a", "m_b")
-    copied = members.where(F.col("note_id") != F.col("class_id")).select("rep").distinct()
-    same = members.join(copied, "rep", "left_semi")
-    within = same.select("rep", F.col("note_id").alias("m_a")).join(same.select("rep", F.col("note_id").alias("m_b")), "rep").where("m_a < m_b").select("m_a", "m_b")
-    return (
-        across.union(within)
-        .where("m_a <> m_b")
-        .select(F.least("m_a", "m_b").alias("note_a"), F.greatest("m_a", "m_b").alias("note_b"))
-        .distinct()
-    )
+    sizes = members.select("rep", "n").distinct()
+    for end in ("a", "b"):
+        linked = linked.join(sizes.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}")), end)
+    copied = sizes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    pairs = block_pairs(cut(linked.select("a", "b", "n_a", "n_b").union(copied)), members.select(F.col("rep").alias("grp"), "note_id"), block)
+    both = (F.col("a_note_id"), F.col("b_note_id"))
+    return pairs.where(both[0] != both[1]).select(F.least(*both).alias("note_a"), F.greatest(*both).alias("note_b")).distinct()
 
 
 def near_duplicate_groups(notes: DataFrame) -> DataFrame:
@@ -185,7 +193,8 @@ def near_duplicate_groups(notes: DataFrame) -> DataFrame:
     members, reps = classes(notes)
     linked = cut(similar_representatives(reps))
     groups = components(linked, "a", "b").select(F.col("id").alias("rep"), "component")
-    groups = cut(groups.join(reps.select("rep", "class_id"), "rep"))
+    named = members.select("rep", "class_id").distinct()
+    groups = cut(groups.join(named, "rep"))
     groups = groups.select("rep", "component").join(groups.groupBy("component").agg(F.min("class_id").alias("group_id")), "component").drop("component")
     ends = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
