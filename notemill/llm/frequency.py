@@ -2,7 +2,7 @@
 
 Method: heavy-light aggregation. Items detected as heavy are broadcast; each task counts them exactly in
 local counter arrays and sends one number per item. Only the remaining, light items go through the shuffle
-with their pre-aggregated counts; both count tables are united.
+with their pre-aggregated counts. One aggregation adds both up, the counters of all tasks and the light items.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from ..common import normalised, run_lengths, spread, trimmed
 
 #: Most items on the broadcast list, whatever the size of the data.
 HEAVY_ITEMS = 4096
+#: Longest item on it, in bytes, so that the list stays below a megabyte.
+HEAVY_BYTES = 200
 #: Rows looked at to guess which items are heavy. A wrong guess costs time and changes no count.
-DETECT_ROWS = 50_000
+DETECT_ROWS = 20_000
 RARE_BELOW, COMMON_SHARE = 3, 0.3
 
 _TERM, _ATTRIBUTE = "t", "a"
@@ -46,11 +48,13 @@ def record_items(notes: DataFrame) -> DataFrame:
     return notes.select(run_lengths(F.concat(F.coalesce(terms, none), F.coalesce(pairs, none))).alias("items"))
 
 
-def heavy_items(items: DataFrame, n_rows: int, most: int = HEAVY_ITEMS, detect_rows: int = DETECT_ROWS) -> list[str]:
-    """Up to `most` items that many records of a seeded sample hold."""
-    sample = items if n_rows <= detect_rows else items.sample(detect_rows / n_rows, seed=11)
+def heavy_items(notes: DataFrame, n_rows: int, most: int = HEAVY_ITEMS, detect_rows: int = DETECT_ROWS) -> list[str]:
+    """Up to `most` items of at most HEAVY_BYTES that many records of a seeded sample of the notes hold."""
+    sample = notes if n_rows <= detect_rows else notes.sample(detect_rows / n_rows, seed=11)
     top = (
-        sample.select(F.explode("items.item").alias("item"))
+        record_items(sample)
+        .select(F.explode("items.item").alias("item"))
+        .where(F.octet_length("item") <= HEAVY_BYTES)
         .groupBy("item")
         .count()
         .where(F.col("count") >= 8)
@@ -94,8 +98,8 @@ def item_counts(notes: DataFrame, most: int = HEAVY_ITEMS, detect_rows: int = DE
     `most` and `detect_rows`: these only choose which items are counted without a shuffle.
     """
     n_rows = notes.count()
-    items = record_items(spread(notes.select("terms", "attributes")))
-    counted = items.mapInArrow(_counter(heavy_items(items, n_rows, most, detect_rows)), "item string, occurrences long, records long")
+    source = spread(notes.select("terms", "attributes"))
+    counted = record_items(source).mapInArrow(_counter(heavy_items(source, n_rows, most, detect_rows)), "item string, occurrences long, records long")
     total = counted.groupBy("item").agg(F.sum("occurrences").alias("n_occurrences"), F.sum("records").alias("n_notes"))
     mark = F.when(F.col("n_notes") < RARE_BELOW, "rare").when(F.col("n_notes") > F.lit(COMMON_SHARE) * n_rows, "common")
     return total.select(
