@@ -2,7 +2,9 @@
 
 Method: look-alike characters are mapped in SQL; texts are grouped by the mapped value under an
 accent-sensitive, case-sensitive Unicode collation, in which composed and decomposed accents are equal; of
-each class a deterministic canonical member is chosen and joined back.
+each class a deterministic canonical member is chosen and joined back. The collation also holds visibly different
+characters equal (the digits of all scripts, most marks of one kind of place, styles of mathematical letters, the tags
+that tell flags apart), so the composed forms of what it groups are compared exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..common import WHITE, cut, salted_join, spread
+from ..common import WHITE, block_pairs, cut, few, salted_join, spread
 
 # Letters and marks of other scripts that are drawn like a Latin letter or ASCII mark.
 LOOK_ALIKE = [
@@ -41,6 +43,7 @@ EMOJI = r"\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x
 JOINER = "\ue000"
 
 
+@cache
 def _mapped_pairs() -> dict[str, str]:
     """LOOK_ALIKE and, by rule, blanks of any kind, the full-width and half-width forms, the compatibility ideographs, the
     radicals and the Kelvin, Angstrom and Ohm signs, which become their compatibility forms."""
@@ -51,6 +54,10 @@ def _mapped_pairs() -> dict[str, str]:
             form = unicodedata.normalize("NFKC", c)
             if len(form) == 1 and form != c and c not in "\uffa0\uffe3":
                 pairs[c] = form
+    for c in map(chr, range(sys.maxunicode + 1)):  # canonically the same as one other character
+        form = unicodedata.normalize("NFD", c) if unicodedata.decomposition(c)[:1] not in ("", "<") else ""
+        if len(form) == 1 and c not in pairs:
+            pairs[c] = pairs.get(form, form)
     return pairs
 
 
@@ -81,15 +88,21 @@ def single_characters() -> tuple[str, str]:
     return "".join(pairs) + gone, "".join(pairs.values())
 
 
+def marks_left_out() -> dict[str, str]:
+    """The marks that `single_characters` leaves out, each with the characters that have it."""
+    marks: dict[str, str] = {}
+    for c, form in composed_characters().items():
+        if form[1:]:
+            marks[form[1:]] = marks.get(form[1:], "") + c
+    return marks
+
+
 def _with_marks(text: Column, x: Column) -> Column:
     """`x`, made of `text`, with the marks that `single_characters` leaves out behind their characters.
 
     Two filters spare most texts: ranges that hold all the characters, cheap to try at every place, then the characters.
     """
-    marks: dict[str, str] = {}
-    for c, form in composed_characters().items():
-        if form[1:]:
-            marks[form[1:]] = marks.get(form[1:], "") + c
+    marks = marks_left_out()
     every = sorted("".join(marks.values()))
     ends = [i for i in range(1, len(every)) if ord(every[i]) - ord(every[i - 1]) > 0x30]
     ranges = "".join(f"{every[i]}-{every[j - 1]}" for i, j in zip([0, *ends], [*ends, len(every)]))
@@ -113,9 +126,27 @@ def mapped(text: Column) -> Column:
     return F.when(plain, text).otherwise(x)
 
 
-#: What a fingerprint leaves out: letters with marks and all that may be composed; ideographs and the
-#: Cyrillic letters without a composed form stay.
-_VARIABLE = r"(?s).\p{M}+|[^\x{21}-\x{7E}\x{410}-\x{418}\x{41A}-\x{438}\x{43A}-\x{44F}\x{4E00}-\x{9FFF}]"
+# First and last of the ranges whose characters a fingerprint may keep: ASCII, Cyrillic, Armenian, Hebrew, Arabic,
+# Thai, Georgian, Kana, ideographs.
+FINGERPRINTED = [
+    (0x21, 0x7E), (0x400, 0x4FF), (0x531, 0x58F), (0x5D0, 0x5EA), (0x620, 0x6D3), (0xE01, 0xE5B), (0x10A0, 0x10FF), (0x3041, 0x30FF), (0x4E00, 0x9FFF),
+]
+
+
+@cache
+def _variable() -> str:
+    """A Java pattern of what a fingerprint leaves out: letters with marks, and all but characters that neither compose nor are mapped."""
+    gone = {chr(c) for low, high in INVISIBLE for c in range(low, high + 1)} | _mapped_pairs().keys() | composed_characters().keys()
+    kept: list[list[int]] = []
+    for low, high in FINGERPRINTED:
+        for i in range(low, high + 1):
+            c = chr(i)
+            if c not in gone and unicodedata.category(c)[0] in "LNPS" and unicodedata.normalize("NFD", c) == c:
+                if kept and kept[-1][1] == i - 1:
+                    kept[-1][1] = i
+                else:
+                    kept.append([i, i])
+    return r"(?s).\p{M}+|[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in kept) + "]"
 
 
 @F.pandas_udf(StringType())
@@ -139,7 +170,7 @@ def text_hashes(documents: DataFrame) -> DataFrame:
     """
     rows = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.explode(F.array(mapped(F.col("text")))).alias("look"))
     return rows.where(F.col("look").rlike(r"(?U)\S")).select(
-        "doc_id", _hash1("text").alias("t1"), _hash2("text").alias("t2"), F.xxhash64(F.regexp_replace("look", _VARIABLE, "")).alias("fp")
+        "doc_id", _hash1("text").alias("t1"), _hash2("text").alias("t2"), F.xxhash64(F.regexp_replace("look", _variable(), "")).alias("fp")
     )
 
 
@@ -148,14 +179,15 @@ def equivalent_texts(documents: DataFrame, hashes: DataFrame) -> DataFrame:
 
     n_docs is the number of documents with the text, c1 and c2 are the hashes of the class's canonical
     member, class_texts is the number of texts in the class. Hashes alone are grouped first; only texts that
-    share a fingerprint with a different text are read again, mapped and grouped by collation, together
-    with their composed forms, which compare exactly.
+    share a fingerprint with a different text are read again, by their ids, mapped and grouped by collation, together
+    with their composed forms, which compare exactly. A third of all texts may share a fingerprint.
     """
     texts = hashes.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
     texts = cut(texts)
-    several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    near = texts.join(several, "fp", "left_semi").withColumnRenamed("doc_id", "d")
-    read = documents.select("doc_id", "text").join(near, (F.col("doc_id") == F.col("d")) & (_hash1("text") == F.col("t1")) & (_hash2("text") == F.col("t2")))
+    several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = few(cut(salted_join(texts, several, ["fp"], "n").drop("n").withColumnRenamed("doc_id", "d")))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (_hash1("text") == F.col("t1")) & (_hash2("text") == F.col("t2"))
+    read = documents.select("doc_id", "text").join(near, same)
     read = read.dropDuplicates(["t1", "t2"]).select("t1", "t2", "n_docs", "fp", "text", F.explode(F.array(mapped(F.col("text")))).alias("look"))
     plain = F.struct(F.length(F.regexp_replace("text", r"[\x00-\x7E]", "")).alias("odd"), F.length("text").alias("len"), "t1", "t2")
     seen, form = F.collate("look", "UNICODE").alias("seen"), F.xxhash64(_composed("look")).alias("form")
@@ -165,25 +197,35 @@ def equivalent_texts(documents: DataFrame, hashes: DataFrame) -> DataFrame:
     return read.join(found, ["fp", "seen", "form"]).select("t1", "t2", "n_docs", "c1", "c2", "class_texts")
 
 
-def _classified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`equivalent_texts`, and `(doc_id, t1, t2, c1, c2, class_texts)` of their documents; one text may have a third of all rows."""
+def _classified(documents: DataFrame) -> DataFrame:
+    """`(doc_id, t1, t2, cls, canonical, class_texts, n)`, one row per document that looks like another one: the class by name,
+    whether its text is the canonical one, and the class's texts and documents. One text may have a third of all rows."""
     hashes = cut(text_hashes(documents))
     texts = cut(equivalent_texts(documents, hashes))
-    return texts, salted_join(hashes.select("doc_id", "t1", "t2"), texts, ["t1", "t2"], "n_docs")
+    texts = texts.withColumn("cls", F.concat_ws(":", "c1", "c2"))
+    sizes = texts.groupBy("cls").agg(F.sum("n_docs").alias("n"))
+    texts = texts.join(sizes, "cls").withColumn("canonical", (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")))
+    rows = salted_join(hashes.select("doc_id", "t1", "t2"), few(cut(texts)), ["t1", "t2"], "n_docs")
+    return cut(rows.select("doc_id", "t1", "t2", "cls", "canonical", "class_texts", "n"))
+
+
+#: Documents of a class that meet in one join group; larger classes are cut into blocks.
+BLOCK = 2_000
 
 
-def look_alike_pairs(documents: DataFrame) -> DataFrame:
+def look_alike_pairs(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """`(doc_a, doc_b)`, doc_a < doc_b, distinct: documents whose texts differ as strings and look the same.
 
     Null and blank texts and texts of invisible characters alone are in no pair; copies of one text are no
     pair with each other and pair with every document of the class that differs, which is the definition.
     `canonical_forms` has the form that stays linear.
     """
-    m = cut(_classified(documents)[1])
-    x = m.select("c1", "c2", F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("doc_id").alias("doc_a"))
-    y = m.select("c1", "c2", F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("doc_id").alias("doc_b"))
-    differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    return x.join(y, ["c1", "c2"]).where(differ & (F.col("doc_a") < F.col("doc_b"))).select("doc_a", "doc_b").distinct()
+    m = _classified(documents)
+    links = m.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b")).distinct()
+    pairs = block_pairs(links, m.select(F.col("cls").alias("grp"), "doc_id", "t1", "t2"), block)
+    differ = (F.col("a_t1") != F.col("b_t1")) | (F.col("a_t2") != F.col("b_t2"))
+    both = (F.col("a_doc_id"), F.col("b_doc_id"))
+    return pairs.where(differ & (both[0] != both[1])).select(F.least(*both).alias("doc_a"), F.greatest(*both).alias("doc_b")).distinct()
 
 
 def canonical_forms(documents: DataFrame) -> DataFrame:
@@ -191,15 +233,17 @@ def canonical_forms(documents: DataFrame) -> DataFrame:
 
     form is the text of the canonical member: of the class's texts the one with the fewest characters
     beyond ASCII, then the shortest, then by hash. canonical_id is the least document with that text. A text
-    that looks like no other is its own form, with class_texts 1 and canonical_id null; null stays null.
+    that looks like no other is its own form, with class_texts 1 and canonical_id null; null stays null. Only the texts of
+    canonical members move; the others stay where they are read.
     """
-    texts, m = _classified(documents)
+    m = _classified(documents)
     docs = documents.select("doc_id", "text", _hash1("text").alias("t1"), _hash2("text").alias("t2"))
-    first = m.where("t1 = c1 AND t2 = c2").groupBy("c1", "c2").agg(F.min("doc_id").alias("canonical_id"))
-    held = docs.join(first, (F.col("doc_id") == F.col("canonical_id")) & (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")))
-    held = held.select("c1", "c2", "canonical_id", F.col("text").alias("form")).dropDuplicates(["c1", "c2"])
-    weight = texts.groupBy("c1", "c2").agg(F.sum("n_docs").alias("n_docs"))
-    members = salted_join(m.select("doc_id", "t1", "t2", "class_texts", "c1", "c2"), held.join(weight, ["c1", "c2"]), ["c1", "c2"], "n_docs")
-    changed = members.select("doc_id", "t1", "t2", "canonical_id", "class_texts", "form").distinct()
-    rows = docs.join(changed, ["doc_id", "t1", "t2"], "left")
-    return rows.select("doc_id", "canonical_id", F.coalesce("class_texts", F.lit(1)).alias("class_texts"), F.coalesce("form", "text").alias("form"))
+    first = few(cut(m.where("canonical").groupBy("cls", "n").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("f"))))
+    first = first.select("cls", "n", F.col("f.doc_id").alias("canonical_id"), F.col("f.t1").alias("f1"), F.col("f.t2").alias("f2"))
+    held = docs.join(first, F.col("doc_id").eqNullSafe(F.col("canonical_id")) & (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")))
+    held = held.select("cls", "n", "canonical_id", F.col("text").alias("form")).dropDuplicates(["cls"])
+    members = salted_join(m.select("doc_id", "class_texts", "cls"), held, ["cls"], "n").select("doc_id", "canonical_id", "class_texts", "form")
+    classed = few(cut(m.select(F.col("doc_id").alias("d"), F.col("t1").alias("d1"), F.col("t2").alias("d2")).distinct()))
+    one = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2"))
+    rest = docs.join(classed, one, "left_anti")
+    return rest.select("doc_id", F.lit(None).cast(m.schema["doc_id"].dataType).alias("canonical_id"), F.lit(1).cast("long").alias("class_texts"), F.col("text").alias("form")).unionByName(members)

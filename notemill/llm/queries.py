@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,41 @@ pairs AS (
   WHERE shared * 100 >= (p.n + q.n - shared) * 70)"""
 
 
+
+
+def _look(text: str) -> str:
+    """SQL of the form that a text has in common with all that look like it."""
+    emoji = lookalike.EMOJI
+    x = text
+    for _ in range(2):  # matches overlap
+        x = f"regexp_replace({x}, '([{emoji}][\\x{{FE0F}}\\x{{20E3}}]?)\\x{{200D}}([{emoji}])', '\\1{lookalike.JOINER}\\2', 'g')"
+    for mark, chars in lookalike.marks_left_out().items():
+        x = f"regexp_replace({x}, '([{chars}])', '\\1{mark}', 'g')"
+    old, new = ("".join(f"' || chr({ord(c)}) || '" if ord(c) < 32 or c == "'" else c for c in y) for y in lookalike.single_characters())
+    x = f"translate({x}, '{old}', '{new}')"
+    for c in map(chr, range(0xFB00, 0xFB07)):
+        x = f"replace({x}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
+    return f"nfc_normalize({x})"
+
+
+P9_SQL = f"""
+WITH m AS (SELECT doc_id, text, {_look("text")} AS look FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b
+FROM m a JOIN m b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id WHERE {sql_trim("a.look")} <> ''"""
+
+P6_GROUPS_SQL = f"""
+WITH RECURSIVE {P6_SETS.split("WITH", 1)[1]},
+sets AS (SELECT note_id, string_agg(term, chr(0) ORDER BY term) AS terms FROM s GROUP BY note_id),
+cls AS (SELECT note_id, min(note_id) OVER (PARTITION BY terms) AS class_id FROM sets),
+linked AS (
+  SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM pairs JOIN cls x ON x.note_id = note_a JOIN cls y ON y.note_id = note_b WHERE x.class_id <> y.class_id),
+edges AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reach AS (SELECT DISTINCT class_id AS c, class_id AS d FROM cls UNION SELECT reach.c, edges.b FROM reach JOIN edges ON edges.a = reach.d),
+grp AS (SELECT c, min(d) AS group_id FROM reach GROUP BY c),
+deg AS (SELECT a AS c, count(*) AS n_links FROM edges GROUP BY a)
+SELECT note_id, class_id, group_id, coalesce(n_links, 0)::BIGINT AS n_links FROM cls JOIN grp ON grp.c = class_id LEFT JOIN deg ON deg.c = class_id"""
+
+
 def _on(f: Callable[..., DataFrame], *names: str) -> Query:
     return lambda spark, d: f(*(table(spark, d, n) for n in names))
 
@@ -79,4 +115,6 @@ ORACLE: dict[str, str] = {
     "p5_found": P5_SQL + " SELECT note_id, term FROM scored WHERE tf >= 4 AND n_notes <= 5",
     "p5_scores": P5_SQL + " SELECT note_id, term, tf, n_notes, round(score, 6) AS score FROM scored",
     "p6_found": P6_SETS + " SELECT * FROM pairs",
+    "p6_groups": P6_GROUPS_SQL,
+    "p9_found": P9_SQL,
 }

@@ -339,6 +339,31 @@ def test_look_alikes(spark):
     assert lookalike.look_alike_pairs(df.limit(0)).count() == 0
 
 
+def test_what_collation_holds_equal_stays_apart(spark):
+    england, scotland = ("\U0001f3f4" + "".join(chr(0xE0000 + ord(c)) for c in f"gb{n}") + "\U000e007f" for n in ("eng", "sct"))
+    texts = ["room 5", "room \u0665", "room \u096b", f"x {england}", f"x {scotland}", "a\u0316", "a\u0317", "\U0001d400 b", "\U0001d434 b"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOC)
+    look = df.select(F.collate(lookalike.mapped(F.col("text")), "UNICODE").alias("x"))
+    assert look.distinct().count() < len(texts)  # the collation alone would take them for equal
+    assert lookalike.look_alike_pairs(df).count() == 0
+
+
+def test_scripts_have_fingerprints_and_large_classes_blocks(spark):
+    alone = ["\u0e01\u0e02", "\u0e04\u0e05", "\u0645\u0631\u062d", "\u0634\u0643\u0631", "\u3042\u304a", "\u30a2\u30aa", "\u05d0\u05d1", "\u05d2\u05d3"]
+    hashes = lookalike.text_hashes(spark.createDataFrame(list(enumerate(alone)), DOC))
+    assert hashes.select("fp").distinct().count() == len(alone)
+    forms = ["\u304b\u3099\u304b", "\u304c\u304b", "\u0624\u0645", "\u0648\u0654\u0645", "\U0002f800 x", "\u4e3d x", "\u1fef y", "` y"]
+    df = spark.createDataFrame(list(enumerate(forms)), DOC)
+    assert {tuple(r) for r in lookalike.look_alike_pairs(df).collect()} == {(i, i + 1) for i in range(0, len(forms), 2)}
+    many = [(i, "office" if i % 3 else "o\ufb01ce".replace("\ufb01", "f\ufb01")) for i in range(60)] + [(60, None), (None, "office"), (5, "other")]
+    df = spark.createDataFrame(many, DOC)
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if (a % 3 == 0) != (b % 3 == 0)}
+    for block in (7, 2000):
+        assert {tuple(r) for r in lookalike.look_alike_pairs(df, block).collect()} == want
+    rows = lookalike.canonical_forms(df).collect()
+    assert len(rows) == len(many) and Counter(r["form"] for r in rows) == {"office": 61, None: 1, "other": 1}
+
+
 def test_single_characters_are_stable():
     old, new = lookalike.single_characters()
     pairs = dict(zip(old, new))
