@@ -97,56 +97,68 @@ def marks_left_out() -> dict[str, str]:
     return marks
 
 
-def _with_marks(text: Column, x: Column) -> Column:
-    """`x`, made of `text`, with the marks that `single_characters` leaves out behind their characters.
+def _class(chars: str, gap: int = 1) -> str:
+    """A Java character class without brackets of `chars`, and of what lies in gaps shorter than `gap` between them."""
+    points, ranges = sorted(map(ord, set(chars))), []
+    for p in points:
+        if ranges and p - ranges[-1][1] <= gap:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
-    Two filters spare most texts: ranges that hold all the characters, cheap to try at every place, then the characters.
-    """
-    marks = marks_left_out()
-    every = sorted("".join(marks.values()))
-    ends = [i for i in range(1, len(every)) if ord(every[i]) - ord(every[i - 1]) > 0x30]
-    ranges = "".join(f"{every[i]}-{every[j - 1]}" for i, j in zip([0, *ends], [*ends, len(every)]))
-    marked = x
-    for mark, chars in marks.items():
-        marked = F.regexp_replace(marked, f"[{chars}]", f"$0{mark}")
-    return F.when(text.rlike(f"[{ranges}]") & text.rlike(f"[{''.join(every)}]"), marked).otherwise(x)
 
+def residue(text: Column) -> Column:
+    """What of a text is neither a visible ASCII character nor a common blank: the little that decides what has to be mapped."""
+    return F.regexp_replace(text, r"[\x09-\x0D\x20-\x7E]+", "")
 
-def mapped(text: Column) -> Column:
+
+def mapped(text: Column, odd: Column | None = None) -> Column:
     """`text` with look-alikes, blanks, hyphens and ligatures in one form and invisible characters removed.
 
-    All in JVM expressions. Case, accents, raised, lowered and circled digits and joiners inside emoji stay.
+    All in JVM expressions. Case, accents, raised, lowered and circled digits and joiners inside emoji stay. `odd` is
+    the `residue` of the text; texts without anything to map there are done.
     """
+    odd = residue(text) if odd is None else odd
     old, new = single_characters()
-    joined = F.regexp_replace(text, f"(?<=[{EMOJI}][\\x{{FE0F}}\\x{{20E3}}]?)\\x{{200D}}(?=[{EMOJI}])", JOINER)
-    x = F.translate(_with_marks(text, F.when(F.contains(text, F.lit("\u200d")), joined).otherwise(text)), old, new)
-    for c in map(chr, range(0xFB00, 0xFB07)):  # Latin ligatures
+    ligatures = [chr(c) for c in range(0xFB00, 0xFB07)]
+    marks = marks_left_out()
+    touched = _class(old + "\u200d" + "".join(ligatures) + "".join(marks.values()), 4)
+    marked = F.regexp_replace(text, f"(?<=[{EMOJI}][\\x{{FE0F}}\\x{{20E3}}]?)\\x{{200D}}(?=[{EMOJI}])", JOINER)
+    joined = F.when(F.contains(odd, F.lit("\u200d")), marked).otherwise(text)
+    x = joined
+    for mark, chars in marks.items():
+        x = F.regexp_replace(x, f"[{chars}]", f"$0{mark}")
+    x = F.when(odd.rlike(f"[{_class(''.join(marks.values()), 0x30)}]") & odd.rlike(f"[{''.join(marks.values())}]"), x).otherwise(joined)
+    x = F.translate(x, old, new)
+    for c in ligatures:
         x = F.replace(x, F.lit(c), F.lit(unicodedata.normalize("NFKC", c)))
-    plain = (F.octet_length(text) == F.length(text)) & ~text.rlike(r"[\x00-\x08\x0E-\x1F\x7F]")
-    return F.when(plain, text).otherwise(x)
+    return F.when((odd == "") | ~odd.rlike(f"[{touched}]"), text).otherwise(x)
 
 
-# First and last of the ranges whose characters a fingerprint may keep: ASCII, Cyrillic, Armenian, Hebrew, Arabic,
-# Thai, Georgian, Kana, ideographs.
-FINGERPRINTED = [
-    (0x21, 0x7E), (0x400, 0x4FF), (0x531, 0x58F), (0x5D0, 0x5EA), (0x620, 0x6D3), (0xE01, 0xE5B), (0x10A0, 0x10FF), (0x3041, 0x30FF), (0x4E00, 0x9FFF),
-]
+# First and last of the ranges beyond ASCII whose characters a fingerprint may keep: Cyrillic, Armenian, Hebrew,
+# Arabic, Thai, Georgian, ideographs. Few ranges, since a pattern tries them one after the other.
+FINGERPRINTED = [(0x410, 0x44F), (0x531, 0x58A), (0x5D0, 0x5EA), (0x620, 0x6BF), (0xE01, 0xE46), (0x10A0, 0x10FF), (0x4E00, 0x9FFF)]
 
 
 @cache
 def _variable() -> str:
-    """A Java pattern of what a fingerprint leaves out: letters with marks, and all but characters that neither compose nor are mapped."""
-    gone = {chr(c) for low, high in INVISIBLE for c in range(low, high + 1)} | _mapped_pairs().keys() | composed_characters().keys()
-    kept: list[list[int]] = []
-    for low, high in FINGERPRINTED:
-        for i in range(low, high + 1):
-            c = chr(i)
-            if c not in gone and unicodedata.category(c)[0] in "LNPS" and unicodedata.normalize("NFD", c) == c:
-                if kept and kept[-1][1] == i - 1:
-                    kept[-1][1] = i
-                else:
-                    kept.append([i, i])
-    return r"(?s).\p{M}+|[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in kept) + "]"
+    """A Java class of what a fingerprint leaves out beyond ASCII: all but characters of these ranges that do not compose."""
+    stays = lambda c: unicodedata.category(c)[0] != "M" and unicodedata.normalize("NFD", c) == c
+    kept = "".join(c for low, high in FINGERPRINTED for c in map(chr, range(low, high + 1)) if stays(c))
+    return f"[^{_class(kept)}]"
+
+
+def fingerprint(look: Column) -> Column:
+    """A hash of the characters of a mapped text that no composition changes: texts that look the same have one fingerprint.
+
+    Blanks go, and letters with marks. ASCII characters and the others are kept apart, so the longer pattern sees the
+    `residue` alone.
+    """
+    base = F.when(look.rlike(r"\p{M}"), F.regexp_replace(look, r"(?s).\p{M}+", "")).otherwise(look)
+    ascii_only = F.octet_length(look) == F.length(look)
+    others = F.when(ascii_only, "").otherwise(F.regexp_replace(residue(base), f"{_variable()}+", ""))
+    return F.xxhash64(F.regexp_replace(base, r"[^\x21-\x7E]+", ""), others)
 
 
 @F.pandas_udf(StringType())
@@ -165,12 +177,13 @@ def _hash2(text: str) -> Column:
 def text_hashes(documents: DataFrame) -> DataFrame:
     """`(doc_id, t1, t2, fp)` of texts with a visible character: a 128-bit hash of the text and a fingerprint.
 
-    Texts that look the same have one fingerprint. The explode keeps the mapping from being computed again
-    for the filter.
+    Texts that look the same have one fingerprint. The explodes keep the residue and the mapping from being
+    computed again.
     """
-    rows = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.explode(F.array(mapped(F.col("text")))).alias("look"))
+    rows = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.explode(F.array(residue(F.col("text")))).alias("odd"))
+    rows = rows.select("doc_id", "text", F.explode(F.array(mapped(F.col("text"), F.col("odd")))).alias("look"))
     return rows.where(F.col("look").rlike(r"(?U)\S")).select(
-        "doc_id", _hash1("text").alias("t1"), _hash2("text").alias("t2"), F.xxhash64(F.regexp_replace("look", _variable(), "")).alias("fp")
+        "doc_id", _hash1("text").alias("t1"), _hash2("text").alias("t2"), fingerprint(F.col("look")).alias("fp")
     )
 
 

