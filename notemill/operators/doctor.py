@@ -43,9 +43,9 @@ def frontmatter_links(notes: DataFrame, prefix: str | None = None) -> DataFrame:
     return _within(notes, "path", prefix).where(F.col("frontmatter_links")).select("vault", "path")
 
 
-def report(notes: DataFrame, threshold: int = OVERSIZED_WORDS, prefix: str | None = None) -> DataFrame:
-    """`(finding, vault, name, path)`: all findings in long form. Links are resolved once for all of them."""
-    resolved = cut(links.resolved_links(notes))
+def report(notes: DataFrame, threshold: int = OVERSIZED_WORDS, prefix: str | None = None, resolved: DataFrame | None = None) -> DataFrame:
+    """`(finding, vault, name, path)`: all findings in long form. Links are resolved once for all of them, unless `resolved` has them."""
+    resolved = cut(links.resolved_links(notes)) if resolved is None else resolved
 
     def found(kind: str, df: DataFrame, name: str, path: str) -> DataFrame:
         return df.select(F.lit(kind).alias("finding"), "vault", F.col(name).alias("name"), F.col(path).alias("path"))

@@ -69,11 +69,11 @@ def resolve_names(targets: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("vault", "name", "n_links", F.col("b.path").alias("resolved"), F.coalesce("b.n", F.lit(0)).alias("candidates"))
 
 
-def resolved_links(notes: DataFrame) -> DataFrame:
-    """`(vault, src, pos, target, name, resolved, candidates)`; blank targets resolve to nothing."""
+def resolved_links(notes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """`(vault, src, pos, target, name, resolved, candidates)`; blank targets resolve to nothing. `known` has the `names`, where they are at hand."""
     links = outgoing(notes)
     targets = links.where(F.col("name") != "").groupBy("vault", "name").agg(F.count(F.lit(1)).alias("n_links"))
-    r = resolve_names(targets, names(notes))
+    r = resolve_names(targets, names(notes) if known is None else known)
     out = salted_join(links, r, ["vault", "name"], "n_links", how="left")
     return out.select("vault", "src", "pos", "target", "name", "resolved", F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
@@ -101,6 +101,18 @@ def unlinked_notes(notes: DataFrame, resolved: DataFrame) -> DataFrame:
     return alone.join(seen, ["vault", "path"], "left_anti")
 
 
+def links_to(notes: DataFrame, back: DataFrame, vault: str, path: str) -> DataFrame:
+    """`(path, title)` of the notes that link to one note, by path; `back` has the `backlinks`."""
+    mine = back.where((F.col("vault") == vault) & (F.col("dst") == path)).select("vault", F.col("src").alias("path"))
+    return notes.join(mine, ["vault", "path"], "left_semi").select("path", "title").orderBy("path")
+
+
+def links_from(resolved: DataFrame, vault: str, path: str) -> DataFrame:
+    """`(target, resolvedPath)` of one note's links in document order, duplicates kept."""
+    mine = resolved.where((F.col("vault") == vault) & (F.col("src") == path)).orderBy("pos")
+    return mine.select("target", F.col("resolved").alias("resolvedPath"))
+
+
 def by_target(pairs: DataFrame) -> DataFrame:
     """`(vault, target, referrers)`: the referrers of a target, sorted, in one row as reports show them."""
     return pairs.groupBy("vault", "target").agg(F.array_sort(F.collect_set("referrer")).alias("referrers"))

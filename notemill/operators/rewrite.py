@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from ..common import normalised
 from ..errors import NotemillError
+from ..sources.vault import BOM
 from . import links
 
 _NONE = "string"
@@ -75,29 +79,28 @@ def _after(to: str | None) -> Column:
     return F.when(F.col("kind") == "wiki", wiki).otherwise(F.concat(F.substring(F.col("before"), F.lit(1), F.col("t0")), target, rest))
 
 
-def plan(parsed: DataFrame, notes: DataFrame, vault: str, source: str, to: str | None) -> DataFrame:
+def referrers(back: DataFrame, vault: str, source: str, to: str | None) -> DataFrame:
+    """`(path)` of the notes that the index's `backlinks` know to point at `source`; of a delete without the note itself."""
+    rows = back.where((F.col("vault") == vault) & (F.col("dst") == source)).select(F.col("src").alias("path"))
+    return (rows if to is not None else rows.where(F.col("path") != source)).distinct()
+
+
+def plan(parsed: DataFrame, notes: DataFrame, vault: str, source: str, to: str | None, known: DataFrame | None = None) -> DataFrame:
     """`(path, line, before, after, start, end)`: the edits that moving (`to`) or deleting (None) `source` needs.
 
-    Only links that resolve to the note count, and only of notes that the index knows as referrers. A delete
-    leaves the deleted note's own links alone.
+    `parsed` has the texts of the `referrers`, and no others are read. Only links that resolve to the note count. A
+    delete leaves the deleted note's own links alone. `known` has the `names`, where they are at hand.
     """
     mine = notes.where(F.col("vault") == vault)
     at = occurrences(parsed.where(F.col("vault") == vault)).withColumn("name", normalised("target"))
     asked = at.where(F.col("name") != "").groupBy("vault", "name").agg(F.count(F.lit(1)).alias("n_links"))
-    hit = links.resolve_names(asked, links.names(mine)).where(F.col("resolved") == source).select("vault", "name")
+    hit = links.resolve_names(asked, links.names(mine) if known is None else known).where(F.col("resolved") == source).select("vault", "name")
     rows = at.join(hit, ["vault", "name"], "left_semi").withColumn("after", _after(to))
     if to is None:
         rows = rows.where(F.col("path") != source)
     return rows.where(F.col("before") != F.col("after")).select("path", "line", "before", "after", "start", "end")
 
 
-def unresolved(parsed: DataFrame, notes: DataFrame, vault: str, source: str) -> DataFrame:
-    """`(path, reason)`: referrers in the index whose text is gone."""
-    refs = links.backlinks(links.resolved_links(notes.where(F.col("vault") == vault))).where(F.col("dst") == source).select(F.col("src").alias("path"))
-    gone = refs.join(parsed.where(F.col("vault") == vault).select("path"), "path", "left_anti")
-    return gone.select("path", F.lit("file no longer exists").alias("reason"))
-
-
 def splice(text: str, edits: list[tuple[int, int, str]]) -> str:
     """`text` with every range replaced, in one forward pass."""
     out, at = [], 0
@@ -123,30 +126,51 @@ def rewritten(notes_text: DataFrame, edits: DataFrame, source: str, to: str | No
     return rows.withColumn("path", F.when(F.col("path") == source, F.lit(to)).otherwise(F.col("path")))
 
 
+def _replace_file(at: str, text: str) -> None:
+    draft = f"{at}.{uuid.uuid4().hex}.draft"
+    with open(draft, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    shutil.copymode(at, draft)
+    os.replace(draft, at)
+
+
+def _rewrite_files(root: str):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            done = []
+            for path, edits in zip(part["path"], part["edits"]):
+                at = os.path.join(root, path)
+                if not os.path.exists(at):
+                    continue
+                with open(at, encoding="utf-8", newline="") as f:
+                    text = f.read()
+                shift = int(text.startswith(BOM))
+                changes = [(e["start"] + shift, e["end"] + shift, e["before"], e["after"]) for e in edits]
+                # a task that runs again after a loss finds its files changed already, and leaves them
+                if all(text[a:b] == before for a, b, before, _ in changes):
+                    _replace_file(at, splice(text, [(a, b, after) for a, b, _, after in changes]))
+                    done.append(path)
+            yield pd.DataFrame({"path": pd.Series(done, dtype=object)})
+
+    return run
+
+
 def apply_to_files(root: str, edits: DataFrame, source: str, to: str | None) -> int:
     """Rewrite the referring files, then move or delete the note; files that are gone are passed over.
 
     Referrers come first, so an interrupted run leaves links to a note that exists. An existing destination is
-    refused. Works on the files of one vault folder from the driver; returns how many files changed.
+    refused. The files of the vault's shared folder are rewritten by the tasks, each replaced whole; returns how many changed.
     """
     target = os.path.join(root, to) if to else None
     if target and to != source and os.path.exists(target):
         raise NotemillError(f"destination already exists: {to}")
-    by_file: dict[str, list[tuple[int, int, str]]] = {}
-    for r in edits.toLocalIterator():
-        by_file.setdefault(r["path"], []).append((r["start"], r["end"], r["after"]))
-    for path, changes in by_file.items():
-        at = os.path.join(root, path)
-        if os.path.exists(at):
-            with open(at, encoding="utf-8", newline="") as f:
-                text = f.read()
-            with open(at, "w", encoding="utf-8", newline="") as f:
-                f.write(splice(text, changes))
+    per_file = edits.groupBy("path").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("edits"))
+    changed = per_file.mapInPandas(_rewrite_files(root), "path string").count()
     at = os.path.join(root, source)
     if target is None:
         if os.path.exists(at):
             os.remove(at)
-    else:
+    elif to != source:
         os.makedirs(os.path.dirname(target), exist_ok=True)
         os.rename(at, target)
-    return len(by_file)
+    return changed

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 from .. import __version__, config
 from ..common import cut
 from ..errors import NoIndexError, NotemillError, StaleIndexError, UsageError
-from ..functions.parser import parse_note, parse_notes
+from ..functions.parser import file_stem, parse_note, parse_notes
 from ..functions.snippets import snippet_column
 from ..functions.text import analyse, analyse_query
 from ..operators import attrs, doctor, index, links, rewrite, search, staleness
@@ -47,6 +48,9 @@ def index_tables(notes: DataFrame, skipped: DataFrame, files: DataFrame, c: conf
     terms = cut(index.field_terms(docs, stem))
     posted = cut(index.postings(terms, c.field_weights))
     lengths = index.doc_lengths(docs, terms)
+    graph = docs.select(F.lit("").alias("vault"), "path", "title", "aliases", "out_links")
+    known = cut(links.names(graph))
+    linked = cut(links.resolved_links(graph, known))
     shown = F.coalesce(F.try_element_at("attributes", F.lit("tags")), F.array().cast("array<string>"))
     full = cut(docs.drop("body", "tags").join(lengths, "doc_id").withColumn("tags", shown))
     return {
@@ -56,19 +60,28 @@ def index_tables(notes: DataFrame, skipped: DataFrame, files: DataFrame, c: conf
         "corpus_stats": index.corpus_stats(full, posted),
         "skipped": skipped,
         "files": files,
+        "names": known,
+        "links": linked,
+        "backlinks": links.backlinks(linked),
     }
 
 
 class Vault:
-    """Opens the vault at or above `start`. Methods return DataFrames, or dictionaries where a command prints one document."""
+    """Opens the vault at or above `start`; `spark` may be a function that makes the session when it is first needed. Methods return DataFrames, or dictionaries where a command prints one document."""
 
-    def __init__(self, spark: SparkSession, start: str):
+    def __init__(self, spark: SparkSession | Callable[[], SparkSession], start: str):
         root = config.find_root(start)
         if root is None:
             raise NoIndexError(f"no vault at or above {start}")
-        self.spark, self.config = spark, config.load(root)
+        self._session, self.config = spark, config.load(root)
         self.index_root = os.path.join(self.config.home, "index")
 
+    @property
+    def spark(self) -> SparkSession:
+        if not isinstance(self._session, SparkSession):
+            self._session = self._session()
+        return self._session
+
     @staticmethod
     def init(root: str) -> str:
         return config.save(config.VaultConfig(os.path.abspath(root)))
@@ -131,7 +144,7 @@ class Vault:
         q = search.build_query(analyse_query(text), filters, not_filters, tags, prefix, limit)
         t = self.tables()
         n, avg = self._stats(t)
-        hits = search.search(t["postings"], t["docs"], t["attrs"], q, n, avg, self.config.k1, self.config.b)
+        hits = search.search(generation.postings_of(t, q.terms), t["docs"], t["attrs"], q, n, avg, self.config.k1, self.config.b)
         return self._shown(hits, t, snippets)
 
     def _shown(self, hits: DataFrame, t: dict[str, DataFrame], snippets: bool) -> DataFrame:
@@ -160,16 +173,20 @@ class Vault:
         df = self.spark.createDataFrame([(body,)], "body string")
         return [r["term"] for r in analyse(df, "body").select("term").collect()]
 
-    def _graph_notes(self, t: dict[str, DataFrame] | None = None) -> DataFrame:
-        return (t or self.tables())["docs"].withColumn("vault", F.lit(self.config.root))
+    def _graph(self, *names: str) -> list[DataFrame]:
+        """Tables of the index with the vault as a column, which the link operators want."""
+        t = self.tables()
+        return [t[n].withColumn("vault", F.lit(self.config.root)) for n in names]
 
     def resolve(self, argument: str) -> str:
         """The path a note argument means; NotemillError where there is none or several."""
         if os.path.isabs(argument):
             argument = os.path.relpath(argument, self.config.root).replace(os.sep, "/")
-        notes = self._graph_notes()
-        asked = self.spark.createDataFrame([(self.config.root, argument.strip().lower(), 1)], "vault string, name string, n_links long")
-        r = links.resolve_names(asked, links.names(notes)).first()
+        notes, known = self._graph("docs", "names")
+        name = argument.strip().lower()
+        wanted = {name, f"{name}.md", file_stem(name)}  # a filter that reaches the row groups of the sorted names
+        asked = self.spark.createDataFrame([(self.config.root, name, 1)], "vault string, name string, n_links long")
+        r = links.resolve_names(asked, known.where(F.col("name").isin(list(wanted)))).first()
         if r is None or r["resolved"] is None:
             raise NotemillError(f"no note matches: {argument}")
         if r["candidates"] > 1:
@@ -178,16 +195,15 @@ class Vault:
         return r["resolved"]
 
     def links_to(self, argument: str) -> DataFrame:
-        notes, path = self._graph_notes(), self.resolve(argument)
-        back = links.backlinks(links.resolved_links(notes)).where(F.col("dst") == path)
-        return back.join(notes, back["src"] == notes["path"]).select("path", "title").orderBy("path")
+        path = self.resolve(argument)
+        return links.links_to(*self._graph("docs", "backlinks"), self.config.root, path)
 
     def links_from(self, argument: str) -> DataFrame:
-        notes, path = self._graph_notes(), self.resolve(argument)
-        return links.resolved_links(notes).where(F.col("src") == path).orderBy("pos").select("target", F.col("resolved").alias("resolvedPath"))
+        path = self.resolve(argument)
+        return links.links_from(self._graph("links")[0], self.config.root, path)
 
     def broken(self) -> DataFrame:
-        return links.by_target(links.broken_links(links.resolved_links(self._graph_notes()))).drop("vault").orderBy("target")
+        return links.by_target(links.broken_links(self._graph("links")[0])).drop("vault").orderBy("target")
 
     def attrs(self, limit: int = 0, prefix: str | None = None) -> DataFrame:
         t = self.tables()
@@ -195,7 +211,8 @@ class Vault:
         return attrs.report(attrs.census(t["attrs"], docs), limit)
 
     def doctor(self, prefix: str | None = None) -> DataFrame:
-        return doctor.report(self._graph_notes(), self.config.split_threshold_words, prefix).drop("vault")
+        notes, linked = self._graph("docs", "links")
+        return doctor.report(notes, self.config.split_threshold_words, prefix, linked).drop("vault")
 
     # -- mutations ---------------------------------------------------------
 
@@ -207,12 +224,12 @@ class Vault:
             to = rewrite.normalise_destination(path, to, lambda p: os.path.isdir(os.path.join(self.config.root, p)))
             if to != path and os.path.exists(os.path.join(self.config.root, to)):
                 raise NotemillError(f"destination already exists: {to}")
-        read, _ = source.read_notes(self.spark, self.config)
-        texts = read.withColumn("vault", F.lit(self.config.root))
+        notes, known, back = self._graph("docs", "names", "backlinks")
+        read = cut(source.read_paths(rewrite.referrers(back, self.config.root, path, to), self.config.root))
+        gone = read.where("text IS NULL").select("path", F.col("error").alias("reason"))
+        texts = read.where("text IS NOT NULL").select(F.lit(self.config.root).alias("vault"), "path", "text")
         parsed = parse_notes(texts, ["vault", "path", "text"], "path", "text")
-        notes = self._graph_notes()
-        edits = cut(rewrite.plan(parsed, notes, self.config.root, path, to))
-        gone = rewrite.unresolved(parsed, notes, self.config.root, path)
+        edits = cut(rewrite.plan(parsed, notes, self.config.root, path, to, known))
         shown = edits.orderBy("path", "start").select("path", "line", "before", "after").collect()
         out = {
             "from": path,

@@ -11,12 +11,15 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import VaultConfig, load
 
+BOM = "\ufeff"
+GONE = "file no longer exists"
 SCHEMA = "path string, abs_path string, mtime_ms long, size long, text string, error string"
 
 
@@ -64,14 +67,16 @@ def walk(config: VaultConfig, folder: str = "", deep: bool = True) -> Iterator[t
 
 
 def _read(path: str) -> tuple[str | None, str | None]:
-    """Text, or why there is none: unreadable files and files that are no UTF-8 are skipped with a reason."""
+    """Text without a leading byte order mark, or why there is none: unreadable files and files that are no UTF-8 are skipped with a reason."""
     try:
         with open(path, "rb") as f:
-            return f.read().decode("utf-8"), None
-    except UnicodeDecodeError:
-        return None, "not valid UTF-8"
+            return f.read().decode("utf-8").removeprefix(BOM), None
+    except FileNotFoundError:
+        return None, GONE
+    except UnicodeDecodeError as e:
+        return None, f"not valid UTF-8: {e.reason} at byte {e.start}"
     except OSError as e:
-        return None, f"cannot read file ({e.strerror})" if e.strerror else "cannot read file"
+        return None, f"cannot read file: {e.strerror}" if e.strerror else "cannot read file"
 
 
 class _Folders(InputPartition):
@@ -140,6 +145,19 @@ def read_notes(spark: SparkSession, config: VaultConfig) -> tuple[DataFrame, Dat
     return rows.where(F.col("error").isNull()).drop("abs_path", "error"), rows.where(F.col("error").isNotNull()).select("path", F.col("error").alias("reason"))
 
 
+def read_paths(paths: DataFrame, root: str) -> DataFrame:
+    """`(path, text, error)` of the files named by column `path`, read by the tasks; nothing else of the vault is looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                names = batch.column(0).slice(at, 500)
+                got = [_read(os.path.join(root, p)) for p in names.to_pylist()]
+                yield pa.RecordBatch.from_arrays([names, pa.array([t for t, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["path", "text", "error"])
+
+    return paths.select("path").mapInArrow(run, "path string, text string, error string")
+
+
 def from_table(df: DataFrame, path: str, text: str) -> DataFrame:
     """Any table with a path and a text as notes; null paths and texts are left out."""
     rows = df.where(F.col(path).isNotNull() & F.col(text).isNotNull())

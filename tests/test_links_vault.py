@@ -81,7 +81,7 @@ def test_scan_and_read(spark, folder):
     c = config.load(folder)
     assert {r["path"] for r in scan(spark, c).collect()} == {"notes/Deep Work.md", "notes/b.MD", "c.markdown", "bad.md"}
     notes, skipped = read_notes(spark, c)
-    assert notes.count() == 3 and [tuple(r) for r in skipped.collect()] == [("bad.md", "not valid UTF-8")]
+    assert notes.count() == 3 and [tuple(r) for r in skipped.collect()] == [("bad.md", "not valid UTF-8: invalid start byte at byte 0")]
 
 
 def test_vault_round_trip(spark, folder):
@@ -90,7 +90,7 @@ def test_vault_round_trip(spark, folder):
     with pytest.raises(NoIndexError):
         v.tables()
     s = v.index()
-    assert s["docCount"] == 3 and s["skipped"] == [{"path": "bad.md", "reason": "not valid UTF-8"}]
+    assert s["docCount"] == 3 and s["skipped"] == [{"path": "bad.md", "reason": "not valid UTF-8: invalid start byte at byte 0"}]
     assert [r["doc_id"] for r in v.tables()["docs"].orderBy("path").collect()] == [0, 1, 2]
     hits = v.search("sourdough hydration").collect()
     assert [h["path"] for h in hits] == ["notes/Deep Work.md", "c.markdown"]
