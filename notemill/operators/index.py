@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import FORMAT_VERSION
-from ..common import cut, normalised, run_lengths, spread
+from ..common import normalised, run_lengths, spread
 from ..functions.stemmer import stem_column
 from ..functions.text import tokens
 
@@ -23,8 +23,7 @@ def _or_empty(c: str | Column) -> Column:
 def field_terms(parsed: DataFrame, stem: bool = True, **options) -> DataFrame:
     """`(doc_id, term, field, n)`, n occurrences of a word each, of notes `(doc_id, title, aliases, headings, tags, body)`.
 
-    Words are counted inside the row before anything moves; the counts are materialised once, for the
-    distinct words that are stemmed and for the rows that get the stems. A tag with `/` is a term as it stands, and its parts are analysed too.
+    Words are counted and stemmed where the rows are; nothing moves. A tag with `/` is a term as it stands, and its parts are analysed too.
     """
     each = lambda texts: F.flatten(F.transform(_or_empty(texts), lambda t: tokens(t, **options)))
     tagged = lambda a, f: F.transform(run_lengths(a), lambda t: F.struct(t["item"].alias("term"), F.lit(f).alias("field"), F.lit(True).alias("stems"), t["n"].alias("n")))
@@ -43,7 +42,7 @@ def field_terms(parsed: DataFrame, stem: bool = True, **options) -> DataFrame:
     source = spread(parsed.select("doc_id", "title", "aliases", "headings", "tags", "body"))
     rows = source.select("doc_id", F.explode(fields).alias("t")).select("doc_id", "t.term", "t.field", "t.stems", "t.n")
     if stem:
-        rows = stem_column(cut(rows).withColumn("word", F.when(F.col("stems"), F.col("term"))), "word")
+        rows = stem_column(rows.withColumn("word", F.when(F.col("stems"), F.col("term"))), "word")
         rows = rows.withColumn("term", F.coalesce("word", "term"))
     return rows.select("doc_id", "term", "field", "n")
 

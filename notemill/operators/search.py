@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..common import normalised, salted_join
+from ..common import cut, normalised, salted_join
 from ..errors import UsageError
 
 K1, B = 1.2, 0.75
@@ -121,14 +121,17 @@ def query_terms(body_terms: DataFrame, df: DataFrame, n: float, most: int = SIMI
 def search_batch(queries: DataFrame, posted: DataFrame, docs: DataFrame, n: float, avg: float, limit: int = 10, exclude_self: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """`(query_id, rank, doc_id, path, score)`: many queries `(query_id, pos, term)` in one job.
 
-    Postings get their score share once per (term, document), before they meet the queries; sums per (query, document) are pre-aggregated; top-k is a window per query, cut inside each partition first.
+    Postings get their score share once per (term, document), before they meet the queries, under salts where a term is frequent; sums per
+    (query, document) are pre-aggregated; top-k is a window per query, cut inside each partition first.
     """
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = queries.select("term").distinct()
+    asked = cut(queries.select("query_id", "term").distinct())
+    wanted = asked.select("term").distinct()
+    df = cut(posted.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     shares = posted.join(wanted, "term", "left_semi")
     shares = salted_join(shares, df, ["term"], "df").join(docs.select("doc_id", "length"), "doc_id")
     shares = shares.select("term", "doc_id", term_score(F.col("wtf"), F.col("df"), F.col("length"), n, avg, k1, b).alias("s"))
-    sums = queries.select("query_id", "term").distinct().join(shares, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), DIGITS - 1).alias("score"))
+    met = salted_join(shares, asked.join(df, "term"), ["term"], "df")
+    sums = met.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), DIGITS - 1).alias("score"))
     if exclude_self:
         sums = sums.where(F.col("doc_id") != F.col("query_id"))
     ranked = sums.join(docs.select("doc_id", "path"), "doc_id")

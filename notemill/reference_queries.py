@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, spread, table
+from .common import cut, spread, stored, table
 from .functions.parser import parse_notes
 from .functions.snippets import snippet_column
 from .functions.stemmer import stem_column
@@ -59,14 +59,14 @@ def _attr_report(notes: DataFrame) -> DataFrame:
 
 def _batch(notes: DataFrame) -> DataFrame:
     """Every note whose id is divisible by 20 asks with its title, against all notes."""
-    docs = search.searchable_documents(notes, _lengths(notes))
+    docs = stored(search.searchable_documents(notes, _lengths(notes)))
     queries = search.title_terms(notes.where(F.col("note_id") % 20 == 0))
-    return search.search_batch(queries, _posted(notes), docs, *_stats(notes))
+    return search.search_batch(queries, stored(_posted(notes)), docs, *_stats(notes))
 
 
 def _similar(notes: DataFrame) -> DataFrame:
     """The ten notes most like each note whose id is divisible by 20, by its own best body terms, against all notes."""
-    docs, posted, (n, avg) = search.searchable_documents(notes, _lengths(notes)), _posted(notes), _stats(notes)
+    docs, posted, (n, avg) = stored(search.searchable_documents(notes, _lengths(notes))), stored(_posted(notes)), _stats(notes)
     body = index.indexed_terms(notes.where(F.col("note_id") % 20 == 0)).where(F.col("field") == "body")
     queries = search.query_terms(body.select(F.col("doc_id").alias("query_id"), "term"), index.document_frequency(posted), n)
     return search.search_batch(queries, posted, docs, n, avg, exclude_self=True)
@@ -100,11 +100,30 @@ def _manifest_hash_snaps(files: DataFrame) -> DataFrame:
     return manifest_hash(_held(files).where("size IS NOT NULL"), ["vault", "snap"])
 
 
+#: What a link of the tables cannot contain to be written as one.
+UNWRITABLE = r"[\[\]\n]"
+#: What a Markdown link cannot contain besides; such links are written between double brackets.
+NO_MARKDOWN = r"[()<>%\"'\s]"
+
+
 def _rendered(notes: DataFrame) -> DataFrame:
-    """Notes as files: front matter, a title line, each link on a line of its own, and one in code that must not count."""
+    """Notes as files: front matter, a title line, each link on a line of its own, and one in code that must not count.
+
+    Links take turns: plain, with a heading and shown text, as an embedded block, as a Markdown link.
+    """
     link = F.transform(
-        F.filter(F.coalesce("out_links", F.array().cast("array<string>")), lambda x: x.isNotNull() & ~x.rlike(r"[\[\]#^|\n]")),
-        lambda x: F.concat(F.lit("- [["), x, F.lit("]]\n")),
+        F.coalesce("out_links", F.array().cast("array<string>")),
+        lambda x, i: F.when(
+            x.isNotNull() & ~x.rlike(UNWRITABLE),
+            F.concat(
+                F.lit("- "),
+                F.when(i % 4 == 1, F.concat(F.lit("[["), x, F.lit("#Top|shown]]")))
+                .when(i % 4 == 2, F.concat(F.lit("![["), x, F.lit("^b1]]")))
+                .when((i % 4 == 3) & ~x.rlike(NO_MARKDOWN), F.concat(F.lit("[label]("), x, F.lit(' "title")')))
+                .otherwise(F.concat(F.lit("[["), x, F.lit("]]"))),
+                F.lit("\n"),
+            ),
+        ),
     )
     head = F.concat(F.lit("---\nstatus: draft\n---\n# "), F.coalesce("title", F.lit("")), F.lit("\n"))
     text = F.concat(head, F.concat_ws("", link), F.lit("`[[code]]`\n"))
@@ -143,7 +162,7 @@ def _tokens(documents: DataFrame) -> DataFrame:
 
 
 def _stems(documents: DataFrame) -> DataFrame:
-    return stem_column(cut(_tokens(documents)), "token").groupBy("token").agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return stem_column(_tokens(documents), "token").groupBy("token").agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def _document_search(documents: DataFrame) -> DataFrame:
@@ -299,14 +318,37 @@ WITH {_HELD}
 SELECT vault, snap, sha256(string_agg(path || ' ' || coalesce(size::VARCHAR, '') || ' ' || mtime_ms::VARCHAR || chr(10), '' ORDER BY path)) AS manifest_hash
 FROM held WHERE size IS NOT NULL GROUP BY vault, snap"""
 
+# the links of the rendered notes as they must be read
+_WRITTEN = """
+raw AS (
+  SELECT note_id, vault, path AS src, (i - 1)::INT AS pos, out_links[i] AS x
+  FROM (SELECT note_id, vault, path, out_links, unnest(range(1, len(out_links) + 1)) AS i FROM notes) WHERE NOT regexp_matches(out_links[i], '[\\[\\]\\n]')),
+written AS (
+  SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY pos) AS nth, pos % 4 = 3 AND NOT regexp_matches(x, '[()<>%"''\\s]') AS md,
+    CASE pos % 4 WHEN 1 THEN x || '#Top|shown' WHEN 2 THEN x || '^b1' ELSE x END AS inside, pos % 4 = 2 AS embed FROM raw),
+cutup AS (
+  SELECT *, CASE WHEN contains(inside, '|') THEN inside[:strpos(inside, '|') - 1] ELSE inside END AS bare,
+    CASE WHEN contains(inside, '|') THEN inside[strpos(inside, '|') + 1:] END AS shown FROM written),
+seen AS (
+  SELECT note_id, vault, src, pos, nth, md, embed, CASE WHEN md THEN x ELSE regexp_extract(bare, '^[^#^]*') END AS target,
+    CASE WHEN regexp_matches(bare, '[#^]') AND NOT md THEN regexp_replace(bare, '^[^#^]*[#^]', '') END AS anchor,
+    CASE WHEN md THEN 'label' ELSE shown END AS shown,
+    CASE WHEN md THEN '[label](' || x || ' "title")' ELSE CASE WHEN embed THEN '!' ELSE '' END || '[[' || inside || ']]' END AS before
+  FROM cutup
+  WHERE NOT md OR (x <> '' AND NOT regexp_matches(x, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//|#)')
+    AND (NOT regexp_matches(regexp_extract(x, '[^/]*$'), '.\\.[^.]*$') OR regexp_matches(lower(x), '\\.(md|markdown)$'))))"""
+_O = _LINKS[_LINKS.index("o AS (") : _LINKS.index("r AS (")]
+_SEEN_LINKS = _LINKS.replace(_O, f"""{_WRITTEN.strip()},
+o AS (SELECT note_id, vault, src, pos, target, {sql_norm("target")} AS name, nth, md, embed, anchor, shown, before FROM seen WHERE target <> ''),
+""").replace("SELECT o.vault, o.src, o.pos, o.target, o.name,", "SELECT o.*,")
 _PLAN = f"""
-WITH {_LINKS},
-best AS (SELECT vault, dst FROM back GROUP BY vault, dst ORDER BY count(*) DESC, vault, dst LIMIT 1),
-shown AS (
-  SELECT r.*, row_number() OVER (PARTITION BY r.vault, src ORDER BY pos) AS nth
-  FROM r WHERE NOT regexp_matches(target, '[\\[\\]#^|\\n]'))
-SELECT src AS path, (nth + 4)::INT AS line, '[[' || target || ']]' AS before, {{0}} AS after
-FROM shown JOIN best ON best.vault = shown.vault AND dst = resolved WHERE {{1}}"""
+WITH best AS (WITH {_LINKS} SELECT vault, dst FROM back GROUP BY vault, dst ORDER BY count(*) DESC, vault, dst LIMIT 1),
+{_SEEN_LINKS}
+SELECT src AS path, (nth + 4)::INT AS line, before, {{0}} AS after
+FROM r JOIN best ON best.vault = r.vault AND best.dst = resolved WHERE before <> {{0}} AND {{1}}"""
+_MOVED = """CASE WHEN md THEN '[label](' || CASE WHEN contains(target, '/') THEN 'archive/renamed note.md' ELSE 'renamed note.md' END || ' "title")'
+  ELSE CASE WHEN embed THEN '!' ELSE '' END || '[[' || CASE WHEN contains(target, '/') THEN 'archive/renamed note' ELSE 'renamed note' END
+    || coalesce('#' || anchor, '') || coalesce('|' || shown, '') || ']]' END"""
 
 QUERIES: dict[str, Query] = {
     "weighted_tf": _on(_posted, "notes"),
@@ -342,6 +384,8 @@ QUERIES: dict[str, Query] = {
     "rename_plan": _on(lambda n: _plan(n, "archive/renamed note.md"), "notes"),
     "delete_plan": _on(lambda n: _plan(n, None), "notes"),
     "parsed_links": _on(_parsed_links, "notes"),
+    "links_to": _on(lambda n: links.links_to(n, links.backlinks(links.resolved_links(n)), *_most_linked(n)), "notes"),
+    "links_from": _on(lambda n: links.links_from(links.resolved_links(n), *_most_linked(n)), "notes"),
     "parsed_documents": _on(_parsed_documents, "documents"),
     "tokens": _on(_tokens, "documents"),
     "stems": _on(_stems, "documents"),
@@ -388,10 +432,12 @@ ORACLE: dict[str, str] = {
     "manifest_hash": _MANIFEST,
     "staleness_snaps": _STALE_SNAPS,
     "manifest_hash_snaps": _MANIFEST_SNAPS,
-    "rename_plan": _PLAN.format("CASE WHEN contains(target, '/') THEN '[[archive/renamed note]]' ELSE '[[renamed note]]' END", "before <> after"),
-    "delete_plan": _PLAN.format("target", "src <> dst"),
-    "parsed_links": """SELECT note_id, (row_number() OVER (PARTITION BY note_id ORDER BY i) - 1)::INT AS pos, out_links[i] AS target
-      FROM (SELECT note_id, out_links, unnest(range(1, len(out_links) + 1)) AS i FROM notes)
-      WHERE out_links[i] IS NOT NULL AND NOT regexp_matches(out_links[i], '[\\[\\]#^|\\n]')""",
+    "rename_plan": _PLAN.format(_MOVED, "true"),
+    "delete_plan": _PLAN.format("coalesce(shown, target)", "src <> dst"),
+    "parsed_links": f"""WITH {_WRITTEN} SELECT note_id, (row_number() OVER (PARTITION BY note_id ORDER BY md, pos) - 1)::INT AS pos, target FROM seen""",
+    "links_to": f"""WITH {_LINKS}, best AS (SELECT vault, dst FROM back GROUP BY vault, dst ORDER BY count(*) DESC, vault, dst LIMIT 1)
+      SELECT path, title FROM notes WHERE (vault, path) IN (SELECT back.vault, src FROM back JOIN best USING (vault, dst))""",
+    "links_from": f"""WITH {_LINKS}, best AS (SELECT vault, dst FROM back GROUP BY vault, dst ORDER BY count(*) DESC, vault, dst LIMIT 1)
+      SELECT target, resolved AS "resolvedPath" FROM r JOIN best ON best.vault = r.vault AND dst = src""",
     "tokens": _TOKENS,
 }
