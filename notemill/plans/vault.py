@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import __version__, config
-from ..common import cut
+from ..common import cut, stored
 from ..errors import NoIndexError, NotemillError, StaleIndexError, UsageError
 from ..functions.parser import file_stem, parse_note, parse_notes
 from ..functions.snippets import snippet_column
@@ -91,8 +91,9 @@ class Vault:
     def index(self) -> dict[str, Any]:
         """Build and publish a generation: counts, bytes, elapsed time and the skipped files."""
         began = time.time()
-        notes, skipped = source.read_notes(self.spark, self.config)
-        files = source.scan(self.spark, self.config)  # skipped files too
+        read = stored(source.read_all(self.spark, self.config))  # once, so all tables are of one moment
+        notes, skipped = source.split_read(read)
+        files = read.select("path", "mtime_ms", "size")  # skipped files too
         tables = index_tables(notes, skipped, files, self.config)
         generation.publish(self.index_root, tables)
         made = generation.open_index(self.spark, self.index_root)

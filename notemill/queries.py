@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import golden_queries as golden
 from . import reference_queries as reference
 from .common import table
 from .operators import orphans, snapshots
@@ -104,5 +105,5 @@ QUERIES: dict[str, Query] = {
     "p1_report": _on(orphans.orphan_report, "notes", "edits"),
     "p4_found": _on(snapshots.snapshot_changes, "files"),
     "p4_summary": _on(snapshots.snapshot_summary, "files"),
-} | reference.QUERIES
-ORACLE: dict[str, str] = {"p1_found": P1_SQL, "p1_report": P1_REPORT_SQL, "p4_found": P4_SQL, "p4_summary": P4_SUMMARY_SQL} | reference.ORACLE
+} | reference.QUERIES | golden.QUERIES
+ORACLE: dict[str, str] = {"p1_found": P1_SQL, "p1_report": P1_REPORT_SQL, "p4_found": P4_SQL, "p4_summary": P4_SUMMARY_SQL} | reference.ORACLE | golden.ORACLE

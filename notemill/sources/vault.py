@@ -140,8 +140,17 @@ def scan(spark: SparkSession, config: VaultConfig) -> DataFrame:
 
 def read_notes(spark: SparkSession, config: VaultConfig) -> tuple[DataFrame, DataFrame]:
     """`(path, mtime_ms, size, text)` of readable notes, and `(path, reason)` of skipped ones."""
+    return split_read(read_all(spark, config))
+
+
+def read_all(spark: SparkSession, config: VaultConfig) -> DataFrame:
+    """`(path, abs_path, mtime_ms, size, text, error)` of every note, text or error null."""
     spark.dataSource.register(NotesSource)
-    rows = spark.read.format("notes").load(config.root)
+    return spark.read.format("notes").load(config.root)
+
+
+def split_read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`(path, mtime_ms, size, text)` of what was read, and `(path, reason)` of what was not."""
     return rows.where(F.col("error").isNull()).drop("abs_path", "error"), rows.where(F.col("error").isNotNull()).select("path", F.col("error").alias("reason"))
 
 
