@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import month_of_millis, month_of_timestamp, normalised, salted_join, stem_of, trimmed
+from ..common import cut, month_of_millis, month_of_timestamp, normalised, salted_join, stem_of, trimmed
 
 #: References a row of which has these: the kind of names it may mean, the space they live in, the period.
 KEY = ["tbl", "vault", "name", "ym"]
@@ -106,7 +106,7 @@ def all_references(notes: DataFrame, edits: DataFrame) -> DataFrame:
 def orphan_references(notes: DataFrame, edits: DataFrame) -> DataFrame:
     """`(tbl, ym, row_id, target)`, distinct: every reference that names no note existing in its month."""
     refs = all_references(notes, edits)
-    orphans = orphan_keys(reference_keys(refs), record_names(notes))
+    orphans = cut(orphan_keys(reference_keys(refs), record_names(notes)))  # for the heavy list and for the join
     return salted_join(refs, orphans, KEY, "n_refs").select("tbl", "ym", "row_id", "target").distinct()
 
 
