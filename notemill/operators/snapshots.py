@@ -98,7 +98,7 @@ def snapshot_changes(files: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, b
     snapshot and are left out. A null loaded_at is the earliest. `rows_per_bucket` and `broadcast_keys` change no row. Buckets are of a hash of the key, so a
     vault that holds a third of all rows spreads over all of them.
     """
-    order = snapshot_order(files)
+    order = few(cut(snapshot_order(files)), broadcast_keys)  # a row per vault and snapshot
     o = order.select(F.col("vault").alias("o_vault"), F.col("snap").alias("o_snap"), "n", "last", "next_snap")
     keyed = files.where(F.col("snap").isNotNull()).select(
         "vault",
