@@ -237,7 +237,7 @@ def token_ids(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """`(doc_id, ids)`: ids without special tokens, whose strings are ordinary text; one row per row of documents.
 
     Null and empty texts give an empty list, blank ones the tokens of their blanks. Whole texts are
-    encoded, and nothing is shuffled.
+    encoded; nothing is shuffled, but inputs of fewer partitions than cores are spread over these first.
     """
     shared = documents.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     return spread(documents.select("doc_id", "text")).mapInArrow(_encoded(shared, False), "doc_id long, x array<int>").withColumnRenamed("x", "ids")
