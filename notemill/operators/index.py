@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +67,39 @@ def postings(terms: DataFrame, weights: dict[str, float] | None = None) -> DataF
     return terms.groupBy("term", "doc_id").agg(total.alias("wtf"))
 
 
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in batches:
+        n = pc.list_value_length(t.column("terms")).to_numpy()
+        words = t.column("terms").flatten().dictionary_encode()
+        width = max(1, len(words.dictionary))
+        key, at = np.unique(np.repeat(np.arange(len(n)), n) * width + words.indices.to_numpy(), return_inverse=True)
+        total = np.bincount(at, t.column("weights").flatten().to_numpy(), len(key))
+        ends = np.append(0, np.cumsum(np.bincount(key // width, minlength=len(n)))).astype(np.int32)
+        terms = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(key % width)))
+        wtf = pa.ListArray.from_arrays(ends, np.maximum(1, np.floor(total + 0.5)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("path"), pa.array(n.astype(np.int32)), terms, wtf], ["doc_id", "path", "length", "terms", "wtf"])
+
+
+def document_postings(notes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """`(doc_id, path, length, terms, wtf)`: `postings` and `doc_lengths` of notes that carry their terms, as a row per note.
+
+    `terms` has each distinct term once, `wtf` its weight at the same place; both are empty for notes without terms. Made inside the row, so
+    nothing is shuffled, and note_id must be a key: a repeated one counts as a further document.
+    """
+    weights = FIELD_WEIGHTS | (weights or {})
+    weight = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
+    some = F.coalesce(F.filter("terms", lambda t: t["term"].isNotNull()), F.array().cast("array<struct<term:string,field:string>>"))
+    rows = spread(notes.select(F.col("note_id").alias("doc_id"), "path", "terms")).withColumn("t", some)
+    rows = rows.select(
+        "doc_id",
+        "path",
+        F.transform("t", lambda t: normalised(t["term"])).alias("terms"),
+        F.transform("t", lambda t: F.coalesce(F.element_at(weight, t["field"]), F.lit(1.0))).alias("weights"),
+    )
+    key = notes.schema["note_id"].dataType.simpleString()
+    return rows.mapInArrow(_weigh, f"doc_id {key}, path string, length int, terms array<string>, wtf array<int>")
+
+
 def doc_lengths(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """`(doc_id, length)`: unweighted occurrences in all fields, 0 for documents without terms."""
     n = terms.groupBy("doc_id").agg(F.sum("n").cast("int").alias("length"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 from pyspark.sql.window import Window
 
 from ..common import cut, normalised, salted_join
@@ -15,6 +19,11 @@ K1, B = 1.2, 0.75
 #: Scores are compared and shown with so many digits, so that the order of a distributed sum never decides a rank.
 DIGITS = 9
 SIMILAR_TERMS = 20
+#: What one task of `search_batch` holds: postings, about 60 bytes each while they are sorted; documents, 8 bytes each per query; terms of queries.
+POSTINGS_PER_BLOCK, DOCS_PER_BLOCK, ASKED_PER_BLOCK = 3_000_000, 100_000, 1_000_000
+BYTES_PER_BLOCK = 100_000_000  # of the postings' terms
+#: Parts of a block's documents whose best sums bound the score of the last hit.
+RUNS = 256
 
 
 @dataclass
@@ -118,23 +127,127 @@ def query_terms(body_terms: DataFrame, df: DataFrame, n: float, most: int = SIMI
     return scored.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("query_id", "pos", "term")
 
 
-def search_batch(queries: DataFrame, posted: DataFrame, docs: DataFrame, n: float, avg: float, limit: int = 10, exclude_self: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """`(query_id, rank, doc_id, path, score)`: many queries `(query_id, pos, term)` in one job.
+def _unjoined(t: pa.Table) -> tuple[pa.StringArray, np.ndarray]:
+    """The terms of all rows, from each row's `words` joined and their `sizes` in bytes, and how many each row has."""
+    sizes = t.column("sizes").combine_chunks()
+    cuts = np.append(0, np.cumsum(sizes.flatten().to_numpy(), dtype=np.int64)).astype(np.int32)
+    joined = pa.concat_arrays(t.column("words").cast(pa.string()).chunks).buffers()[2]  # from their first byte on
+    return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), joined or pa.py_buffer(b"")), pc.list_value_length(sizes).to_numpy()
 
-    Postings get their score share once per (term, document), before they meet the queries, under salts where a term is frequent; sums per
-    (query, document) are pre-aggregated; top-k is a window per query, cut inside each partition first.
+
+def best_in_block(docs: pa.Table, asked: pa.Table, limit: int, exclude_self: bool, n: float, avg: float, k1: float = K1, b: float = B) -> pa.Table:
+    """`(query_id, doc_id, score)`: the best `limit` of these documents for each of these queries, by score, path, id.
+
+    Both sides have the `words` and `sizes` of their terms, documents their `wtf`, queries their `df`. One dense row of sums is filled
+    and read per query, so a pair of a query and a document is never a row.
     """
-    asked = cut(queries.select("query_id", "term").distinct())
-    wanted = asked.select("term").distinct()
-    df = cut(posted.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    shares = posted.join(wanted, "term", "left_semi")
-    shares = salted_join(shares, df, ["term"], "df").join(docs.select("doc_id", "length"), "doc_id")
-    shares = shares.select("term", "doc_id", term_score(F.col("wtf"), F.col("df"), F.col("length"), n, avg, k1, b).alias("s"))
-    met = salted_join(shares, asked.join(df, "term"), ["term"], "df")
-    sums = met.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), DIGITS - 1).alias("score"))
+    if not (len(docs) and len(asked) and limit):
+        return pa.table({"query_id": asked.column("query_id")[:0], "doc_id": docs.column("doc_id")[:0], "score": np.zeros(0)})
+    by = pc.sort_indices(docs, sort_keys=[("path", "ascending"), ("doc_id", "ascending")], null_placement="at_start").to_numpy()
+    place = np.empty(len(by), np.int64)  # among the documents in the order of ties
+    place[by] = np.arange(len(by))
+
+    sought, ends = _unjoined(asked)
+    words = sought.unique()
+    code = pc.index_in(sought, value_set=words).to_numpy()
+    df = np.zeros(len(words))
+    df[code] = asked.column("df").combine_chunks().flatten().to_numpy()
+    idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+    ends = np.cumsum(ends).tolist()
+
+    held, lengths = _unjoined(docs)
+    word = pc.fill_null(pc.index_in(held, value_set=words), -1).to_numpy()
+    del held
+    order = np.argsort(word, kind="stable")[np.count_nonzero(word < 0) :]
+    word = word[order]
+    first = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+    row = np.repeat(np.arange(len(by), dtype=np.int32), lengths)[order]
+    wtf = docs.column("wtf").combine_chunks().flatten().to_numpy()[order]
+    norm = (1.0 - b) + b * docs.column("length").to_numpy() / avg if avg > 0 else np.ones(len(by))
+    share = idf[word]
+    share *= wtf
+    share *= k1 + 1.0
+    del word, order
+    below = (k1 * norm)[row]
+    below += wtf
+    share /= below
+    del below, wtf
+    at = place[row]
+    del row
+
+    own = np.full(len(ends), -1)
     if exclude_self:
-        sums = sums.where(F.col("doc_id") != F.col("query_id"))
-    ranked = sums.join(docs.select("doc_id", "path"), "doc_id")
+        ids = docs.column("doc_id").combine_chunks()
+        there = pc.index_in(asked.column("query_id").cast(ids.type), value_set=ids).combine_chunks()
+        own = np.append(place, -1)[pc.fill_null(there, -1).to_numpy()]
+    runs = min(len(by), max(RUNS, limit))
+    sums = np.zeros(runs * -(-len(by) // runs))
+    one = 10.0 ** (DIGITS - 1)
+    count, found, scores = np.zeros(len(ends), np.int64), [np.zeros(0, np.int64)], [np.zeros(0)]
+    for i, (begin, end) in enumerate(zip([0, *ends], ends)):
+        terms = [(first[c], first[c + 1]) for c in code[begin:end].tolist() if first[c] < first[c + 1]]
+        if not terms:
+            continue
+        sums.fill(0.0)
+        for f, t in terms:
+            sums[at[f:t]] += share[f:t]  # a term has a document once
+        if own[i] >= 0:
+            sums[own[i]] = 0.0
+        # as many runs have a document of at least this sum as there are places to fill; what rounding may lift to it stays
+        least = np.partition(sums.reshape(runs, -1).max(axis=1), runs - limit)[runs - limit] if runs >= limit else 0.0
+        hits = np.flatnonzero(sums >= least - 2 / one) if least > 2 / one else np.flatnonzero(sums)
+        score = np.floor(sums[hits] * one + 0.5) / one
+        if len(hits) > limit:
+            last = np.partition(score, len(hits) - limit)[len(hits) - limit]
+            more = np.flatnonzero(score > last)
+            keep = np.append(more, np.flatnonzero(score == last)[: limit - len(more)])
+            hits, score = hits[keep], score[keep]
+        count[i] = len(hits)
+        found.append(hits)
+        scores.append(score)
+    return pa.table({
+        "query_id": asked.column("query_id").take(pa.array(np.repeat(np.arange(len(ends)), count))),
+        "doc_id": docs.column("doc_id").take(pa.array(by[np.concatenate(found)])),
+        "score": np.concatenate(scores),
+    })
+
+
+def search_batch(
+    queries: DataFrame, indexed: DataFrame, df: DataFrame, n: float, avg: float, limit: int = 10, exclude_self: bool = False, k1: float = K1, b: float = B,
+    postings_per_block: int = POSTINGS_PER_BLOCK, docs_per_block: int = DOCS_PER_BLOCK, asked_per_block: int = ASKED_PER_BLOCK,
+) -> DataFrame:
+    """`(query_id, rank, doc_id, path, score)`: many queries `(query_id, pos, term)` in one job; a limit below 1 gives no hits.
+
+    `indexed` is `index.document_postings`, read several times, with one row per document, and `df` `(term, df)` over it. Documents and queries are cut into blocks
+    by a hash; every block of documents meets every block of queries in a task of its own, where sums are made in memory. What moves is
+    the documents once per block of queries, the queries once per block of documents, and `limit` hits per query and block of
+    documents. The sizes of blocks bound a task's memory and change no row.
+    """
+    limit = max(0, limit)
+    terms = queries.select("query_id", "term").distinct().join(df, "term").select("query_id", F.struct("term", "df").alias("t"))
+    # no more elements in a group than the query has terms, sorted, so that sums are always added in one order
+    asked = cut(terms.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.df").alias("df")))
+    n_docs, n_postings, n_bytes = indexed.agg(F.count(F.lit(1)), F.sum(F.size("terms")), F.sum(F.octet_length(F.concat_ws("", "terms")))).first()
+    n_asked = asked.agg(F.sum(F.size("terms"))).first()[0]
+    rows = max(1, -(-(n_asked or 0) // asked_per_block))
+    cores = indexed.sparkSession.sparkContext.defaultParallelism
+    columns = max(1, -(-(n_postings or 0) // postings_per_block), -(-n_docs // docs_per_block), -(-(n_bytes or 0) // BYTES_PER_BLOCK), -(-2 * cores // rows))
+
+    def cells(side: DataFrame, cell: Column, others: int) -> GroupedData:
+        # terms move as one string and their sizes, about half the bytes of an array
+        joined = side.withColumns({"words": F.concat_ws("", "terms"), "sizes": F.transform("terms", F.octet_length)}).drop("terms")
+        every = joined.select(F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"), "*").withColumn("cell", cell.cast("int"))
+        return every.drop("other").repartitionById(rows * columns, F.col("cell")).groupBy("cell")
+
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    left = cells(indexed.select("doc_id", "path", "length", "terms", "wtf"), block("doc_id", columns) * rows + F.col("other"), rows)
+    right = cells(asked, F.col("other") * rows + block("query_id", rows), columns)
+    kind = lambda side, c: side.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(asked, 'query_id')}, doc_id {kind(indexed, 'doc_id')}, score double"
+    found = left.cogroup(right).applyInArrow(lambda d, q: best_in_block(d, q, limit, exclude_self, float(n), float(avg), k1, b), schema)
+    # paths are fetched for what can still be among the best, ties included
+    near = found.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= limit)
+    ranked = near.drop("r").join(indexed.select("doc_id", "path"), "doc_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "doc_id")
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "path", "score")
 

@@ -57,19 +57,24 @@ def _attr_report(notes: DataFrame) -> DataFrame:
     return r.select("key", "occurrences", "distinct_values", "truncated", shown.alias("shown"))
 
 
+def _indexed(notes: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
+    """Postings by note, document frequencies, the number of notes and their mean length."""
+    made = stored(index.document_postings(notes))
+    s = made.agg(F.count(F.lit(1)), F.sum("length")).first()
+    return made, index.document_frequency(made.select(F.explode("terms").alias("term"))), s[0], (s[1] or 0) / max(s[0], 1)
+
+
 def _batch(notes: DataFrame) -> DataFrame:
     """Every note whose id is divisible by 20 asks with its title, against all notes."""
-    docs = stored(search.searchable_documents(notes, _lengths(notes)))
-    queries = search.title_terms(notes.where(F.col("note_id") % 20 == 0))
-    return search.search_batch(queries, stored(_posted(notes)), docs, *_stats(notes))
+    return search.search_batch(search.title_terms(notes.where(F.col("note_id") % 20 == 0)), *_indexed(notes))
 
 
 def _similar(notes: DataFrame) -> DataFrame:
     """The ten notes most like each note whose id is divisible by 20, by its own best body terms, against all notes."""
-    docs, posted, (n, avg) = stored(search.searchable_documents(notes, _lengths(notes))), stored(_posted(notes)), _stats(notes)
+    made, df, n, avg = _indexed(notes)
     body = index.indexed_terms(notes.where(F.col("note_id") % 20 == 0)).where(F.col("field") == "body")
-    queries = search.query_terms(body.select(F.col("doc_id").alias("query_id"), "term"), index.document_frequency(posted), n)
-    return search.search_batch(queries, posted, docs, n, avg, exclude_self=True)
+    queries = search.query_terms(body.select(F.col("doc_id").alias("query_id"), "term"), df, n)
+    return search.search_batch(queries, made, df, n, avg, exclude_self=True)
 
 
 def _latest(files: DataFrame, snap: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from notemill import reference_queries
 from notemill.operators import attrs, index, search
 from notemill.errors import UsageError
 
@@ -100,3 +103,85 @@ def test_field_terms_and_weights(spark):
     assert {(r["doc_id"], r["length"]) for r in index.doc_lengths(p, terms).collect()} == {(1, 8), (2, 0)}
     empty = index.corpus_stats(index.doc_lengths(p.limit(0), terms.limit(0)), index.postings(terms.limit(0))).first()
     assert (empty["doc_count"], empty["avg_length"]) == (0, 0.0)
+
+
+TERMED = "note_id long, path string, terms array<struct<term:string,field:string>>"
+
+
+def test_document_postings_are_postings_by_row(spark):
+    rows = [(1, "b", [(" Cat", "title"), ("cat", "body"), (None, "body"), ("dog", "new"), ("dog", None), ("", "tag")]), (2, None, None), (3, "a", []), (4, "c", [None, ("\u00c4x", "heading")])]
+    notes = spark.createDataFrame(rows, TERMED)
+    got = index.document_postings(notes).collect()
+    terms = index.indexed_terms(notes)
+    flat = {(t, r["doc_id"], w) for r in got for t, w in zip(r["terms"], r["wtf"], strict=True)}
+    assert flat == {tuple(r) for r in index.postings(terms).collect()} and len(flat) == sum(len(r["terms"]) for r in got) == 4
+    assert {(r["doc_id"], r["length"]) for r in got} == {tuple(r) for r in index.doc_lengths(notes.select(F.col("note_id").alias("doc_id")), terms).collect()}
+    assert {(r["doc_id"], r["path"]) for r in got} == {(1, "b"), (2, None), (3, "a"), (4, "c")}
+    half = index.document_postings(notes, {"title": 0.5, "body": 1.0}).where("doc_id = 1").first()
+    assert dict(zip(half["terms"], half["wtf"])) == {"cat": 2, "dog": 2, "": 2}
+
+
+@pytest.mark.parametrize("limit, own, blocks", [
+    (3, False, {}), (3, True, {}), (1, True, {"postings_per_block": 40}), (7, True, {"docs_per_block": 9, "asked_per_block": 6}),
+    (500, False, {"asked_per_block": 11}), (0, False, {}), (-2, False, {}),
+])
+def test_batch_is_every_search_alone(spark, limit, own, blocks):
+    """Few words, so that scores tie; ties go by path, a null one first, and then by id."""
+    draw = random.Random(5)
+    words = ["all", "", "\u00fcber", *"abcdefgh"]
+    docs = {i: (draw.choice([None, "x", "Y", "\u00e9", "z/1"]), ["all"] + draw.choices(words, k=draw.randint(0, 4)) if i % 7 else []) for i in range(120)}
+    asked = {i: {"all", *draw.choices([*words, "nowhere"], k=3)} if i % 4 else {"nowhere"} for i in range(0, 140, 2)}
+    notes = spark.createDataFrame([(i, p, [(t, "body") for t in ts]) for i, (p, ts) in docs.items()], TERMED)
+    queries = spark.createDataFrame([(q, 0, t) for q, ts in asked.items() for t in ts], "query_id long, pos int, term string")
+    made = index.document_postings(notes).cache()
+    df = index.document_frequency(made.select(F.explode("terms").alias("term")))
+    avg = sum(len(ts) for _, ts in docs.values()) / len(docs)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["path"], r["score"]) for r in search.search_batch(queries, made, df, len(docs), avg, limit, own, **blocks).collect()}
+    held = Counter(t for _, ts in docs.values() for t in set(ts))
+    want = {}
+    for q, ts in asked.items():
+        sums = defaultdict(float)
+        for d, (_, body) in docs.items():
+            for t, wtf in Counter(body).items():
+                if t in ts and not (own and d == q):
+                    sums[d] += math.log(1 + (len(docs) - held[t] + 0.5) / (held[t] + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len(body) / avg))
+        order = sorted((-round(s, 8), docs[d][0] is not None, (docs[d][0] or "").encode(), d) for d, s in sums.items())
+        want |= {(q, k): (d, docs[d][0], -s) for k, (s, _, _, d) in enumerate(order[: max(0, limit)], 1)}
+    assert got == want and (len(got) > 30 or limit < 1)
+
+
+def test_batch_of_nothing(spark):
+    notes = spark.createDataFrame([(20, "a", [("x", "title"), ("x", "body")]), (21, "b", None)], TERMED)
+    assert [(r["query_id"], r["rank"], r["doc_id"]) for r in reference_queries._batch(notes).collect()] == [(20, 1, 20)]
+    assert reference_queries._similar(notes).count() == 0
+    for f in (reference_queries._batch, reference_queries._similar):
+        assert f(notes.limit(0)).count() == f(notes.where("note_id = 21")).count() == 0
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a query wrote, after it ran."""
+    df.collect()
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        own = p.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """2,000 notes that all hold one word, 100 of which ask: 200,000 pairs."""
+    held = "array(named_struct('term', 'all', 'field', 'title'), named_struct('term', 'all', 'field', 'body'), named_struct('term', 'w' || note_id, 'field', 'body'))"
+    return spark.range(1, 2001).toDF("note_id").selectExpr("note_id", "'n' || note_id AS path", "'t' AS title", f"{held} AS terms")
+
+
+def test_batch_moves_no_row_per_query_and_document(alike):
+    found = reference_queries._batch(alike)
+    assert 0 < shuffled_rows(found) < 40_000
+    assert found.count() == 1000
