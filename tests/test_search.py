@@ -185,3 +185,9 @@ def test_batch_moves_no_row_per_query_and_document(alike):
     found = reference_queries._batch(alike)
     assert 0 < shuffled_rows(found) < 40_000
     assert found.count() == 1000
+
+
+def test_similar_batch_moves_no_row_per_query_and_document(alike):
+    found = reference_queries._similar(alike)
+    assert 0 < shuffled_rows(found) < 40_000
+    assert found.count() == 1000 and found.where("query_id = doc_id").count() == 0
