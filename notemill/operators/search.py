@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.group import GroupedData
 from pyspark.sql.window import Window
 
 from ..common import cut, normalised, salted_join
@@ -22,6 +23,8 @@ SIMILAR_TERMS = 20
 #: What one task of `search_batch` holds: postings, about 60 bytes each while they are sorted; documents, 8 bytes each per query; terms of queries.
 POSTINGS_PER_BLOCK, DOCS_PER_BLOCK, ASKED_PER_BLOCK = 3_000_000, 100_000, 1_000_000
 BYTES_PER_BLOCK = 100_000_000  # of the postings' terms
+#: Queries for which a task of their own is worth reading the documents once more.
+QUERIES_PER_TASK = 256
 #: Parts of a block's documents whose best sums bound the score of the last hit.
 RUNS = 256
 
@@ -127,89 +130,177 @@ def query_terms(body_terms: DataFrame, df: DataFrame, n: float, most: int = SIMI
     return scored.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("query_id", "pos", "term")
 
 
-def _unjoined(t: pa.Table) -> tuple[pa.StringArray, np.ndarray]:
-    """The terms of all rows, from each row's `words` joined and their `sizes` in bytes, and how many each row has."""
-    sizes = t.column("sizes").combine_chunks()
-    cuts = np.append(0, np.cumsum(sizes.flatten().to_numpy(), dtype=np.int64)).astype(np.int32)
-    joined = pa.concat_arrays(t.column("words").cast(pa.string()).chunks).buffers()[2]  # from their first byte on
-    return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), joined or pa.py_buffer(b"")), pc.list_value_length(sizes).to_numpy()
-
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    """Arrays of different lengths as one compressed value."""
+    row = pa.record_batch({k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in columns.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.Buffer) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(value).read_next_batch()
+    return {k: row.column(k).flatten() for k in row.schema.names}
+
+
+def _document_block(t: pa.Table) -> bytes:
+    """Documents in the order of ties, by path, a null one first, then id; the postings of each word by its documents' places in that order."""
+    by = pc.sort_indices(t, sort_keys=[("path", "ascending"), ("doc_id", "ascending")], null_placement="at_start")
+    place = np.empty(len(by), np.int64)
+    place[by.to_numpy()] = np.arange(len(by))
+    lists = t.column("terms").combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    key = words.indices.to_numpy() * np.int64(len(by)) + np.repeat(place, pc.list_value_length(lists).to_numpy())
+    order = np.argsort(key)
+    word, at = np.divmod(key[order], len(by)) if len(by) else (key, key)
+    ordered = t.select(["doc_id", "path", "length"]).take(by)
+    return _packed({k: ordered.column(k).combine_chunks() for k in ordered.column_names} | {
+        "words": words.dictionary,
+        "sizes": pa.array(np.bincount(word, minlength=len(words.dictionary)).astype(np.int32)),
+        "steps": pa.array(np.diff(at, prepend=0).astype(np.int32)),  # from place to place: small numbers pack well
+        "wtf": t.column("wtf").combine_chunks().flatten().take(pa.array(order)),
+    })
 
-def best_in_block(docs: pa.Table, asked: pa.Table, limit: int, exclude_self: bool, n: float, avg: float, k1: float = K1, b: float = B) -> pa.Table:
-    """`(query_id, doc_id, score)`: the best `limit` of these documents for each of these queries, by score, path, id.
 
-    Both sides have the `words` and `sizes` of their terms, documents their `wtf`, queries their `df`. One dense row of sums is filled
-    and read per query, so a pair of a query and a document is never a row.
-    """
-    if not (len(docs) and len(asked) and limit):
-        return pa.table({"query_id": asked.column("query_id")[:0], "doc_id": docs.column("doc_id")[:0], "score": np.zeros(0)})
-    by = pc.sort_indices(docs, sort_keys=[("path", "ascending"), ("doc_id", "ascending")], null_placement="at_start").to_numpy()
-    place = np.empty(len(by), np.int64)  # among the documents in the order of ties
-    place[by] = np.arange(len(by))
-
-    sought, ends = _unjoined(asked)
-    words = sought.unique()
-    code = pc.index_in(sought, value_set=words).to_numpy()
-    df = np.zeros(len(words))
-    df[code] = asked.column("df").combine_chunks().flatten().to_numpy()
-    idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
-    ends = np.cumsum(ends).tolist()
-
-    held, lengths = _unjoined(docs)
-    word = pc.fill_null(pc.index_in(held, value_set=words), -1).to_numpy()
-    del held
-    order = np.argsort(word, kind="stable")[np.count_nonzero(word < 0) :]
-    word = word[order]
-    first = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
-    row = np.repeat(np.arange(len(by), dtype=np.int32), lengths)[order]
-    wtf = docs.column("wtf").combine_chunks().flatten().to_numpy()[order]
-    norm = (1.0 - b) + b * docs.column("length").to_numpy() / avg if avg > 0 else np.ones(len(by))
-    share = idf[word]
-    share *= wtf
-    share *= k1 + 1.0
-    del word, order
-    below = (k1 * norm)[row]
-    below += wtf
-    share /= below
-    del below, wtf
-    at = place[row]
-    del row
-
-    own = np.full(len(ends), -1)
-    if exclude_self:
-        ids = docs.column("doc_id").combine_chunks()
-        there = pc.index_in(asked.column("query_id").cast(ids.type), value_set=ids).combine_chunks()
-        own = np.append(place, -1)[pc.fill_null(there, -1).to_numpy()]
-    runs = min(len(by), max(RUNS, limit))
-    sums = np.zeros(runs * -(-len(by) // runs))
-    one = 10.0 ** (DIGITS - 1)
-    count, found, scores = np.zeros(len(ends), np.int64), [np.zeros(0, np.int64)], [np.zeros(0)]
-    for i, (begin, end) in enumerate(zip([0, *ends], ends)):
-        terms = [(first[c], first[c + 1]) for c in code[begin:end].tolist() if first[c] < first[c + 1]]
-        if not terms:
-            continue
-        sums.fill(0.0)
-        for f, t in terms:
-            sums[at[f:t]] += share[f:t]  # a term has a document once
-        if own[i] >= 0:
-            sums[own[i]] = 0.0
-        # as many runs have a document of at least this sum as there are places to fill; what rounding may lift to it stays
-        least = np.partition(sums.reshape(runs, -1).max(axis=1), runs - limit)[runs - limit] if runs >= limit else 0.0
-        hits = np.flatnonzero(sums >= least - 2 / one) if least > 2 / one else np.flatnonzero(sums)
-        score = np.floor(sums[hits] * one + 0.5) / one
-        if len(hits) > limit:
-            last = np.partition(score, len(hits) - limit)[len(hits) - limit]
-            more = np.flatnonzero(score > last)
-            keep = np.append(more, np.flatnonzero(score == last)[: limit - len(more)])
-            hits, score = hits[keep], score[keep]
-        count[i] = len(hits)
-        found.append(hits)
-        scores.append(score)
-    return pa.table({
-        "query_id": asked.column("query_id").take(pa.array(np.repeat(np.arange(len(ends)), count))),
-        "doc_id": docs.column("doc_id").take(pa.array(by[np.concatenate(found)])),
-        "score": np.concatenate(scores),
-    })
+def document_blocks(batches: Iterator[pa.RecordBatch], docs: int, postings: int, size: int) -> Iterator[pa.RecordBatch]:
+    """One packed value per block of at most so many documents, postings and bytes of words; a document above them is a block of its own."""
+    most, full, held = np.array([docs, postings, size]), np.zeros(3, np.int64), []
+
+    def flush() -> pa.RecordBatch:
+        out = pa.record_batch({"docs": pa.array([_document_block(pa.Table.from_batches(held))], pa.binary())})
+        held.clear()
+        full[:] = 0
+        return out
+
+    for t in batches:
+        ends = np.append(0, np.cumsum(pc.list_value_length(t.column("terms")).to_numpy(), dtype=np.int64))
+        width = np.append(0, np.cumsum(pc.binary_length(t.column("terms").flatten()).to_numpy(), dtype=np.int64))
+        ends = [np.arange(len(t) + 1), ends, width[ends]]
+        begin = 0
+        while begin < len(t):
+            end = min(int(np.searchsorted(e, e[begin] + m - f, "right")) - 1 for e, m, f in zip(ends, most, full))
+            if end <= begin and held:
+                yield flush()
+                continue
+            end = max(end, begin + 1)
+            held.append(t.slice(begin, end - begin))
+            full += [e[end] - e[begin] for e in ends]
+            begin = end
+    if held:
+        yield flush()
+
+
+def _asked_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All queries of a partition as one packed value."""
+    if held := [t for t in batches if len(t)]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        words = t.column("terms").combine_chunks().flatten().dictionary_encode()
+        df = np.zeros(len(words.dictionary), np.int64)
+        df[words.indices.to_numpy()] = t.column("df").combine_chunks().flatten().to_numpy()
+        sizes = pc.list_value_length(t.column("terms").combine_chunks())
+        got = {"query_id": t.column("query_id").combine_chunks(), "sizes": sizes, "code": words.indices, "words": words.dictionary, "df": pa.array(df)}
+        yield pa.record_batch({"asked": pa.array([_packed(got)], pa.binary())})
+
+
+class _Best:
+    """The best `limit` hits so far of each query of a block, by score, path, id, while blocks of documents pass by."""
+
+    def __init__(self, asked: pa.Buffer, limit: int, exclude_self: bool, n: float, avg: float, k1: float, b: float):
+        got = _unpacked(asked)
+        self.ids, self.words, self.code = got["query_id"], got["words"], got["code"].to_numpy()
+        self.ends = np.cumsum(got["sizes"].to_numpy()).tolist()
+        df = got["df"].to_numpy()
+        self.idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+        self.limit, self.exclude_self, self.avg, self.k1, self.b = limit, exclude_self, avg, k1, b
+        self.bound = np.zeros(len(self.ids))  # the score of the last hit, once there are `limit`
+        self.hits: pa.Table | None = None
+
+    def meet(self, packed: pa.Buffer) -> None:
+        """One dense row of sums is filled and read per query, so a pair of a query and a document is never a row."""
+        docs, limit = _unpacked(packed), self.limit
+        here = pc.index_in(self.words, value_set=docs["words"])
+        there, here = np.flatnonzero(here.is_valid().to_numpy(zero_copy_only=False)), here.drop_null().to_numpy()
+        sizes = docs["sizes"].to_numpy()
+        first = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        begins, stops = np.zeros((2, len(self.words)), np.int64)
+        begins[there], stops[there] = first[here], first[here + 1]
+        begins, stops = begins.tolist(), stops.tolist()
+        idf = np.zeros(len(sizes))
+        idf[here] = self.idf[there]
+
+        length = docs["length"].to_numpy()
+        norm = (1.0 - self.b) + self.b * length / self.avg if self.avg > 0 else np.ones(len(length))
+        at = np.cumsum(docs["steps"].to_numpy(), dtype=np.int64)
+        wtf = docs["wtf"].to_numpy()
+        share = np.repeat(idf, sizes)
+        share *= wtf
+        share *= self.k1 + 1.0
+        below = (self.k1 * norm)[at]
+        below += wtf
+        share /= below
+        del below, wtf
+
+        own = np.full(len(self.ids), -1)
+        if self.exclude_self:
+            ids = docs["doc_id"]
+            own = pc.fill_null(pc.index_in(self.ids.cast(ids.type), value_set=ids), -1).to_numpy()
+        runs = min(len(length), max(RUNS, limit))
+        sums = np.zeros(runs * -(-len(length) // runs))
+        one = 10.0 ** (DIGITS - 1)
+        count, found, scores = np.zeros(len(self.ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i, (begin, end) in enumerate(zip([0, *self.ends], self.ends)):
+            terms = [(begins[c], stops[c]) for c in self.code[begin:end].tolist() if stops[c]]
+            if not terms:
+                continue
+            sums.fill(0.0)
+            for f, t in terms:
+                sums[at[f:t]] += share[f:t]  # a term has a document once
+            if own[i] >= 0:
+                sums[own[i]] = 0.0
+            # as many runs have a document of at least this sum as there are places to fill; what rounding may lift to it stays
+            least = self.bound[i]
+            if not least and runs >= limit:
+                least = np.partition(sums.reshape(runs, -1).max(axis=1), runs - limit)[runs - limit]
+            hits = np.flatnonzero(sums >= least - 2 / one) if least > 2 / one else np.flatnonzero(sums)
+            score = np.floor(sums[hits] * one + 0.5) / one
+            if len(hits) > limit:
+                last = np.partition(score, len(hits) - limit)[len(hits) - limit]
+                more = np.flatnonzero(score > last)
+                keep = np.append(more, np.flatnonzero(score == last)[: limit - len(more)])
+                hits, score = hits[keep], score[keep]
+            count[i] = len(hits)
+            found.append(hits)
+            scores.append(score)
+        new = pa.array(np.concatenate(found))
+        new = pa.table({"q": np.repeat(np.arange(len(count)), count), "doc_id": docs["doc_id"].take(new), "path": docs["path"].take(new), "score": np.concatenate(scores)})
+        self._add(new)
+
+    def _add(self, new: pa.Table) -> None:
+        both = pa.concat_tables([self.hits, new] if self.hits else [new]).combine_chunks()
+        keys = [("q", "ascending"), ("score", "descending"), ("path", "ascending"), ("doc_id", "ascending")]
+        order = pc.sort_indices(both, sort_keys=keys, null_placement="at_start").to_numpy()
+        q, score = both.column("q").to_numpy()[order], both.column("score").to_numpy()[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.limit - 1
+        self.bound[q[last]] = score[last]
+        self.hits = both.take(pa.array(order[rank < self.limit]))
+
+    def rows(self) -> pa.Table:
+        return pa.table({"query_id": self.ids.take(self.hits.column("q").combine_chunks()), **{k: self.hits.column(k) for k in ("doc_id", "path", "score")}})
+
+
+def best_of_blocks(pairs: Iterator[pa.RecordBatch], *of) -> Iterator[pa.RecordBatch]:
+    """`(query_id, doc_id, path, score)`: the best hits for each block of queries among all blocks of documents that come with it."""
+    best: dict[bytes, _Best] = {}  # of one block of queries, where a partition holds one
+    for t in pairs:
+        for docs, asked in zip(t.column("docs"), t.column("asked")):
+            key = hashlib.blake2b(asked.as_buffer(), digest_size=16).digest()
+            if key not in best:
+                best[key] = _Best(asked.as_buffer(), *of)
+            best[key].meet(docs.as_buffer())
+    for x in best.values():
+        yield from x.rows().combine_chunks().to_batches()
 
 
 def search_batch(
@@ -218,38 +309,29 @@ def search_batch(
 ) -> DataFrame:
     """`(query_id, rank, doc_id, path, score)`: many queries `(query_id, pos, term)` in one job; a limit below 1 gives no hits.
 
-    `indexed` is `index.document_postings`, read several times, with one row per document, and `df` `(term, df)` over it. Documents and queries are cut into blocks
-    by a hash; every block of documents meets every block of queries in a task of its own, where sums are made in memory. What moves is
-    the documents once per block of queries, the queries once per block of documents, and `limit` hits per query and block of
-    documents. The sizes of blocks bound a task's memory and change no row.
+    `indexed` is `index.document_postings`, with one row per document, and `df` `(term, df)` over it. Documents where they are, and queries by a hash, are
+    packed into blocks that are written once; every block of documents meets every block of queries in memory, read from where it lies. A task takes one
+    block of queries past its blocks of documents and gives `limit` hits per query; it takes all of them where the blocks of queries are enough for the
+    cores. So what is written grows with documents and queries, never with their product. The sizes of blocks bound a task's memory and change no row.
     """
     limit = max(0, limit)
     terms = queries.select("query_id", "term").distinct().join(df, "term").select("query_id", F.struct("term", "df").alias("t"))
     # no more elements in a group than the query has terms, sorted, so that sums are always added in one order
     asked = cut(terms.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.df").alias("df")))
-    n_docs, n_postings, n_bytes = indexed.agg(F.count(F.lit(1)), F.sum(F.size("terms")), F.sum(F.octet_length(F.concat_ws("", "terms")))).first()
-    n_asked = asked.agg(F.sum(F.size("terms"))).first()[0]
-    rows = max(1, -(-(n_asked or 0) // asked_per_block))
-    cores = indexed.sparkSession.sparkContext.defaultParallelism
-    columns = max(1, -(-(n_postings or 0) // postings_per_block), -(-n_docs // docs_per_block), -(-(n_bytes or 0) // BYTES_PER_BLOCK), -(-2 * cores // rows))
-
-    def cells(side: DataFrame, cell: Column, others: int) -> GroupedData:
-        # terms move as one string and their sizes, about half the bytes of an array
-        joined = side.withColumns({"words": F.concat_ws("", "terms"), "sizes": F.transform("terms", F.octet_length)}).drop("terms")
-        every = joined.select(F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"), "*").withColumn("cell", cell.cast("int"))
-        return every.drop("other").repartitionById(rows * columns, F.col("cell")).groupBy("cell")
-
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    left = cells(indexed.select("doc_id", "path", "length", "terms", "wtf"), block("doc_id", columns) * rows + F.col("other"), rows)
-    right = cells(asked, F.col("other") * rows + block("query_id", rows), columns)
+    n_queries, n_asked = asked.agg(F.count(F.lit(1)), F.sum(F.size("terms"))).first()
+    tasks = 2 * indexed.sparkSession.sparkContext.defaultParallelism
+    rows = max(1, -(-(n_asked or 0) // asked_per_block), min(tasks, n_queries // QUERIES_PER_TASK))
     kind = lambda side, c: side.schema[c].dataType.simpleString()
-    schema = f"query_id {kind(asked, 'query_id')}, doc_id {kind(indexed, 'doc_id')}, score double"
-    found = left.cogroup(right).applyInArrow(lambda d, q: best_in_block(d, q, limit, exclude_self, float(n), float(avg), k1, b), schema)
-    # paths are fetched for what can still be among the best, ties included
-    near = found.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= limit)
-    ranked = near.drop("r").join(indexed.select("doc_id", "path"), "doc_id")
+    by = F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")
+    left = indexed.select("doc_id", "path", "length", "terms", "wtf").mapInArrow(lambda t: document_blocks(t, docs_per_block, postings_per_block, BYTES_PER_BLOCK), "docs binary")
+    right = cut(asked.repartitionById(rows, by).mapInArrow(_asked_block, "asked binary"))
+    # a cartesian product reads its sides again and shuffles neither
+    pairs = cut(left).coalesce(-(-tasks // rows)).crossJoin(right.hint("shuffle_replicate_nl"))
+    of = limit, exclude_self, float(n), float(avg), k1, b
+    schema = f"query_id {kind(asked, 'query_id')}, doc_id {kind(indexed, 'doc_id')}, path string, score double"
+    found = pairs.where(F.lit(limit > 0)).mapInArrow(lambda t: best_of_blocks(t, *of), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "doc_id")
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "path", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "path", "score")
 
 
 def similar(source_terms: list[str], self_id, posted: DataFrame, docs: DataFrame, n: float, avg: float, limit: int = 10, path_prefix: str | None = None) -> DataFrame:

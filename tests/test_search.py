@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,30 @@ def test_similar_batch_moves_no_row_per_query_and_document(alike):
     found = reference_queries._similar(alike)
     assert 0 < shuffled_rows(found) < 40_000
     assert found.count() == 1000 and found.where("query_id = doc_id").count() == 0
+
+
+def test_batch_moves_no_block_once_per_block_of_the_other_side(spark, alike):
+    """7 blocks of documents or more and 10 of queries: what the search shuffles at the end are hits, not 10 times the documents."""
+    made = index.document_postings(alike).cache()
+    df = index.document_frequency(made.select(F.explode("terms").alias("term")))
+    queries = alike.where("note_id % 20 = 0").selectExpr("note_id AS query_id", "0 AS pos", "'all' AS term")
+    found = search.search_batch(queries, made, df, 2000, 3.0, postings_per_block=600, asked_per_block=10)
+    assert 0 < shuffled_rows(found) < 3_000
+    # all score alike, so paths decide across blocks
+    first = sorted((f"n{i}", i) for i in range(1, 2001))[:10]
+    assert {(r["query_id"], r["rank"], r["path"], r["doc_id"]) for r in found.collect()} == {(q, k, *x) for q in range(20, 2001, 20) for k, x in enumerate(first, 1)}
+
+
+@pytest.mark.parametrize("most, sizes", [((3, 99, 99), [3, 3, 1]), ((99, 5, 99), [2, 1, 3, 1]), ((99, 99, 4), [2, 1, 2, 2]), ((99, 99, 99), [7])])
+def test_document_blocks_hold_every_document_once(most, sizes):
+    """A document above a limit is a block of its own; documents come in the order of paths, postings by word."""
+    terms = [["a"], ["b"], list("abcdef"), ["a", "b", "c", "d"], [], ["a"], ["c"]]
+    docs = pa.record_batch({"doc_id": pa.array(range(7)), "path": pa.array([None, *"fedcba"]), "length": pa.array([9] * 7, pa.int32()), "terms": terms, "wtf": [[i + 1] * len(t) for i, t in enumerate(terms)]})
+    got = [search._unpacked(x.as_py()) for t in search.document_blocks(iter([docs[:4], docs[4:]]), *most) for x in t.column("docs")]
+    assert [len(x["doc_id"]) for x in got] == sizes
+    flat = set()
+    for x in got:
+        assert (keys := [(p is not None, p or "") for p in x["path"].to_pylist()]) == sorted(keys)
+        words = np.repeat(np.array(x["words"].to_pylist()), x["sizes"].to_numpy())
+        flat |= {(x["doc_id"][a].as_py(), str(w), n) for w, a, n in zip(words, np.cumsum(x["steps"].to_numpy()), x["wtf"].to_pylist(), strict=True)}
+    assert flat == {(i, w, i + 1) for i, t in enumerate(terms) for w in t}
